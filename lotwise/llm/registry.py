@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .mixing import op2_mix
 from .sharding import op7_shard
+from .tokens import op8_tokens
 
 QUERIES = {
     "op2_mix": op2_mix,
     "op7_shard": op7_shard,
+    "op8_tokens": op8_tokens,
 }
 ORACLES: dict[str, str] = {}
