@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .language import op10_language
 from .mixing import op2_mix
+from .quality import op5_quality
 from .sharding import op7_shard
 from .tokens import op8_tokens
 
 QUERIES = {
     "op2_mix": op2_mix,
+    "op5_quality": op5_quality,
     "op7_shard": op7_shard,
     "op8_tokens": op8_tokens,
+    "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
