@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language import op10_language
 from .mixing import op2_mix
+from .ngram_join import op9_ngram_join
 from .quality import op5_quality
 from .sharding import op7_shard
 from .tokens import op8_tokens
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op7_shard": op7_shard,
     "op8_tokens": op8_tokens,
+    "op9_ngram_join": op9_ngram_join,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
