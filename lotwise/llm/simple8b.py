@@ -14,18 +14,25 @@ COUNTS = np.append(60 // BITS, 1)
 ESCAPE, BLOCK, PAD = 14, 128, 60
 _LIMITS = np.array([1 << int(b) for b in BITS], dtype=np.uint64)
 
+_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 
-def _windows(kind: np.ndarray) -> dict[int, np.ndarray]:
-    """Largest kind among the next n ids, for every n that a selector packs; by doubling."""
-    width = kind.shape[1]
-    shift = lambda a, k: np.pad(a[:, k:], ((0, 0), (0, min(k, width))))
-    best = {1: kind}
-    for n in (2, 4, 8, 16, 32):
-        best[n] = np.maximum(best[n // 2], shift(best[n // 2], n // 2))
-    for n in sorted({int(c) for c in COUNTS[:-1]} - set(best)):
-        low = 1 << (n.bit_length() - 1)
-        best[n] = np.maximum(best[low], shift(best[low], n - low))  # overlapping halves: fine for a maximum
-    return best
+
+def _picks(kind: np.ndarray) -> np.ndarray:
+    """The selector that packs most ids from each place on; kind: bits class of each id, rows end in PAD zeros."""
+    flat = kind.ravel()
+    pick = np.where(flat >= ESCAPE, ESCAPE, 13).astype(np.uint8)
+    most, size = flat.copy(), 1  # most[i]: largest class of the next ``size`` ids
+    for s in range(12, -1, -1):
+        n = int(COUNTS[s])
+        while size < n:  # widen by at most doubling: overlapping windows are fine for a maximum
+            step = min(size, n - size)
+            most[:-step] = np.maximum(most[:-step], most[step:])
+            size += step
+        fits = most <= s
+        if not fits.any() and not (flat[: -PAD or None] <= s).any():
+            break
+        np.putmask(pick, fits, s)
+    return pick.reshape(kind.shape)
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,11 +45,11 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = ids
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    kind = np.searchsorted(_LIMITS, flat, side="right").astype(np.uint8).reshape(blocks, BLOCK)
-    most = _windows(kind)
-    pick = np.where(kind >= ESCAPE, ESCAPE, 13).astype(np.uint8)
-    for s in range(12, -1, -1):
-        pick[most[int(COUNTS[s])] <= s] = s
+    if flat.max() < len(_SMALL):
+        kind = _SMALL[grid]
+    else:
+        kind = np.searchsorted(_LIMITS, grid.ravel(), side="right").astype(np.uint8).reshape(grid.shape)
+    pick = _picks(kind)
     at, rows, steps, places = np.zeros(blocks, np.int64), np.arange(blocks), [], []
     ends = np.full(blocks, BLOCK)
     ends[-1] = n - (blocks - 1) * BLOCK
@@ -55,13 +62,16 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     used = selector != 255
     block = np.broadcast_to(rows[:, None], used.shape)[used]
     selector, place = selector[used].astype(np.int64), place[used]
-    words = selector.astype(np.uint64) << np.uint64(60)
+    words, cells = selector.astype(np.uint64) << np.uint64(60), grid.ravel()
     for s in np.unique(selector):
         mine = np.flatnonzero(selector == s)
         if s == ESCAPE:
             continue
+        base, packed = block[mine] * (BLOCK + PAD) + place[mine], np.zeros(len(mine), np.uint64)
         for j in range(int(COUNTS[s])):
-            words[mine] |= grid[block[mine], place[mine] + j] << np.uint64(j * int(BITS[s]))
+            part = cells[base + j] << np.uint64(j * int(BITS[s]))
+            packed |= part
+        words[mine] |= packed
     sizes = np.bincount(block, minlength=blocks)
     if (raw := np.flatnonzero(selector == ESCAPE)).size:
         words = np.insert(words, raw + 1, grid[block[raw], place[raw]])
@@ -90,13 +100,15 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     first = np.searchsorted(block, np.arange(blocks))
     place = before - before[first][block]
     grid = np.zeros((blocks, BLOCK + PAD), np.uint64)
+    cells = grid.ravel()
     for s in np.unique(selector):
         mine = np.flatnonzero(selector == s)
+        base, own = block[mine] * (BLOCK + PAD) + place[mine], words[mine]
         if s == ESCAPE:
-            grid[block[mine], place[mine]] = raw
+            cells[base] = raw
             continue
         bits = int(BITS[s])
         mask = np.uint64((1 << bits) - 1)
         for j in range(int(COUNTS[s])):
-            grid[block[mine], place[mine] + j] = (words[mine] >> np.uint64(j * bits)) & mask
+            cells[base + j] = (own >> np.uint64(j * bits)) & mask
     return grid[:, :BLOCK].reshape(-1)[:n]

@@ -29,72 +29,97 @@ _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 
-class UnitEncoder:
+def _visible() -> dict[int, str]:
+    """The byte-level alphabet: a byte that prints in Latin-1 stands for itself, the others take 256, 257, ... in turn."""
+    prints = [b for b in range(33, 256) if b < 127 or b > 160 and b != 173]
+    rest = (b for b in range(256) if b not in set(prints))
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_VISIBLE = _visible()  # a blank reads as U+0120
+
+
+class UnitEncoder(dict):
     """The library's ids of a text, put together from remembered units of text between single blanks.
 
     Byte-level pre-tokenization never joins anything over a blank with other characters on both sides but the blank
-    itself to the word after it, so units encode alone. Texts with the special token's string go to the library whole.
-    At most ``memory`` units are remembered by a worker; others are encoded again when met again.
+    itself to the word after it, so units encode alone; so do the two sides of a single line end. A word with trailing
+    marks is two pre-tokens, and the library's BPE model is asked for each. Texts with the special token's string go to
+    the library whole. Keys are the unit's text after its blank, or START and the text of a unit without blank. A worker
+    remembers at most ``memory`` units and half as many words; others are encoded again when met again.
     """
 
-    def __init__(self, path: str, memory: int = 700_000):
+    START = "\0"
+
+    def __init__(self, path: str, memory: int = 800_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        self.words: dict[str, bytes] = {}
         self.memory = memory
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _split(self, text: str) -> list[str]:
-        pieces = _TIGHT.split(text) if any(x in text for x in _ODD) else text.split(" ")
-        return [pieces[0], *[" " + x for x in pieces[1:]]]
-
-    def _new(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units not met before: a word and its trailing marks are two pre-tokens, others go to the library."""
-        out, hard, model = {}, [], self.tok.model
-        for u in units:
-            lead = u[:1] == " "
-            body = u[1:] if lead else u
-            core = body.rstrip(_MARKS)
-            if core.isascii() and core.isalpha():
-                ids = [t.id for t in model.tokenize("Ġ" + core if lead else core)]
-                if core != body:
-                    ids += [t.id for t in model.tokenize(body[len(core) :])]
-                out[u] = np.array(ids, dtype="<u4").tobytes()
+    def _token(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = self.words.get(word)
+        if ids is None:
+            if not word.isascii():
+                shown = word.encode().decode("latin-1").translate(_VISIBLE)
             else:
-                hard.append(u)
-        out.update(zip(hard, self.whole(hard), strict=True))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        special = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        units = [[] if i in set(special) else self._split(t) for i, t in enumerate(texts)] if special else list(map(self._split, texts))
-        wanted: set[str] = set()
-        for u in units:
-            wanted.update(u)
-        known = self.known
-        fresh = self._new([u for u in wanted if u not in known])
-        if len(known) + len(fresh) <= self.memory:
-            known.update(fresh)
-            out = [b"".join(map(known.__getitem__, u)) for u in units]
+                shown = "\u0120" + word[1:] if word[0] == " " else word.translate(_VISIBLE)
+            raw = self.raw
+            ids = b"".join([raw[t.id] for t in self.model.tokenize(shown)])
+            if len(self.words) < self.memory // 2:
+                self.words[word] = ids
+        return ids
+
+    def __missing__(self, key: str) -> bytes:
+        core = key.rstrip(_MARKS)
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):  # so it has no START and no line end
+            ids = self._token(" " + core)
+            if len(core) != len(key):
+                ids += self._token(key[len(core) :])
         else:
-            both = {u: fresh[u] if u in fresh else known[u] for u in wanted}
-            out = [b"".join(map(both.__getitem__, u)) for u in units]
-        for i, ids in zip(special, self.whole([texts[i] for i in special]), strict=True):
-            out[i] = ids
-        return out
+            ids = self._other(key)
+        if len(self) < self.memory:
+            self[key] = ids
+        return ids
+
+    def _other(self, key: str) -> bytes:
+        """Ids of a unit that isn't a word after a blank."""
+        lead = key[:1] != self.START
+        body = key if lead else key[1:]
+        left, end, right = body.partition("\n")
+        if end and left and right and "\n" not in right and not left[-1].isspace() and not right[0].isspace():
+            return self[left if lead else self.START + left] + self._token("\n") + self[self.START + right]
+        core = left.rstrip(_MARKS)
+        if not lead and not end and core.isalpha() and core.isascii():
+            return self._token(core) + (self._token(left[len(core) :]) if len(core) != len(left) else b"")
+        return self.whole(" " + body if lead else body)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        pieces = _TIGHT.split(text) if any(x in text for x in _ODD) else text.split(" ")
+        pieces[0] = self.START + pieces[0]
+        return b"".join(map(self.__getitem__, pieces))
 
 
-def encode_segments(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 18) -> DataFrame:
+def encode_segments(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 19) -> DataFrame:
     """Segments of all documents in ascending doc_id (null last, ties by text); each document ends with end_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _ENCODERS.setdefault(tokenizer, UnitEncoder(tokenizer)) if tokenizer not in _ENCODERS else _ENCODERS[tokenizer]
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = UnitEncoder(tokenizer)
+        enc = _ENCODERS[tokenizer]
         part, seq = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         docs_, parts, size = [], [], 0
@@ -115,8 +140,8 @@ def encode_segments(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_id
         for batch in batches:
             doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
             for a in range(0, len(doc_ids), 500):
-                texts = [t or "" for t in column.slice(a, 500).to_pylist()]
-                for d, ids in zip(doc_ids[a : a + 500], enc.encode(texts), strict=True):
+                for d, text in zip(doc_ids[a : a + 500], column.slice(a, 500).to_pylist(), strict=True):
+                    ids = enc.encode(text or "")
                     docs_.append(d)
                     parts.append(ids + end)
                     size += len(ids) // 4 + 1
@@ -162,7 +187,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
     )
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 18) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 19) -> None:
     """Encode all documents and write their segments to path (a folder all executors share)."""
     encode_segments(docs, tokenizer, end_id, segment_ids).write.parquet(path)
 
