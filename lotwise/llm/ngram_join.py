@@ -9,7 +9,8 @@ passage that many documents share makes no segment equal by itself. Levels are s
 may be in the next class has keys there too. Documents so unevenly spread that all equal segments could be empty have
 keys for their empty segments as well.
 
-Verification. Overlaps are counted fragment by fragment and summed for each pair.
+Verification. A pair whose parity bit maps differ in more places than its sets may is no link; for the others overlaps
+are counted fragment by fragment and summed for each pair.
 
 Groups. Equal sets are one class. In a bucket of equal keys, members are first paired with a few hubs, and later only
 with members of other components, so a group of near copies costs pairs in proportion to its size; the last round pairs
@@ -65,18 +66,29 @@ def _digests(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> tuple[np
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+def _parity(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Parity of each row's n-grams in a bit map of 64 * 2^i >= n bits: sets differ in at least as many places as these."""
+    bits = 1 << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64)
+    base = np.cumsum(bits) - bits
+    place = base[rows] + (mix(grams, 71) & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(bits.sum())) & 1
+    words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.append(base, bits.sum()) // 64, pa.int32()), pa.array(words))
+
+
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, size of the n-gram set and two digests of it."""
+    """doc_id, size of the n-gram set, two digests and the parity bit map of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, rows, grams, sizes in _sets(batch.column(1), k):
                 d1, d2 = _digests(rows, grams, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(d1), pa.array(d2)], ["doc_id", "n", "c", "d"]
+                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(d1), pa.array(d2), _parity(rows, grams, sizes)],
+                    ["doc_id", "n", "c", "d", "parity"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, d long")
+    return docs.mapInArrow(run, "doc_id long, n long, c long, d long, parity array<long>")
 
 
 def _keys(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, take: np.ndarray, level: np.ndarray, percent: int, starts: np.ndarray):
@@ -131,15 +143,35 @@ def candidate_keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, c long")
 
 
-def segments(docs: DataFrame, k: int) -> DataFrame:
-    """(c, n, fragment, grams): the segments of every document's set in SEGMENTS fragments."""
+def _class_bits(classes: DataFrame, size: int) -> np.ndarray:
+    """Bit map of the hashes of the classes, size / 8 bytes at any size of input."""
+    words = classes.select(F.pmod("c", F.lit(size)).alias("bit")).groupBy(F.expr("bit div 64").alias("w"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
+    out = np.zeros(size // 64, np.int64)
+    for w, v in words.toLocalIterator():
+        out[w] = v
+    return out.view(np.uint8)
+
+
+def segments(docs: DataFrame, k: int, classes: DataFrame, size: int = 1 << 23) -> DataFrame:
+    """(c, n, fragment, grams): the segments in SEGMENTS fragments of the sets of the classes (and of some others)."""
+    bits = docs.sparkSession.sparkContext.broadcast(_class_bits(classes, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for _, _, rows, grams, sizes in _sets(batch.column(1), k):
+                c, _ = _digests(rows, grams, sizes)
+                bit = np.mod(c, size)
+                want = (bits.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                for i in np.flatnonzero(want):
+                    if (x := int(c[i])) in met:
+                        want[i] = False
+                    elif len(met) < 1 << 20:
+                        met.add(x)
+                rows, grams = rows[want[rows]], grams[want[rows]]
                 if not len(rows):
                     continue
-                c, _ = _digests(rows, grams, sizes)
                 part = rows * SEGMENTS + (grams >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64)
                 cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 values = pa.ListArray.from_arrays(pa.array(np.append(cut, len(part)).astype(np.int32)), pa.array(grams.view(np.int64)))
@@ -152,12 +184,27 @@ def segments(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "c long, n long, fragment int, grams array<long>")
 
 
+def _close(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that their sizes and parity bit maps don't rule out."""
+    one = known.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    two = known.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    fold = "transform(sequence(0, size({0}) div 2 - 1), i -> {0}[i] ^ {0}[i + size({0}) div 2])"
+    part = "aggregate(zip_with({}, {}, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)"
+    differ = f"""CASE WHEN size(pa) > size(pb) THEN {part.format(fold.format("pa"), "pb")}
+        WHEN size(pa) < size(pb) THEN {part.format("pa", fold.format("pb"))} ELSE {part.format("pa", "pb")} END"""
+    may = f"na + nb - 2 * (({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    met = pairs.join(one, "a").where("na > 0").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return met.where(f"{differ} <= {may}").select("a", "b")
+
+
 def _verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that link: partial overlaps of equal fragments, summed."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    if pairs.count() <= 100_000:  # at most 1.6 MB; beyond that both sides are shuffled
+        parts = parts.join(F.broadcast(ids), "c", "left_semi")
     one = parts.select(F.col("c").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
     two = parts.select(F.col("c").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
-    met = pairs.join(one, "a").join(two, ["b", "fragment"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    both = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    both = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
     total = both.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("i"))
     return total.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
 
@@ -181,13 +228,13 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 3)
         .where("lo < hi").select("key", "c"),
         "ngram-buckets",
     )
-    wanted = buckets.select("c").distinct().join(classes, "c").select("c", F.col("rep").alias("doc_id"))
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    parts = segments(texts, k).join(wanted.select("c"), "c", "left_semi").dropDuplicates(["c", "fragment"])
-    parts = stage(parts, "ngram-segments")
+    wanted = buckets.select("c").distinct()
+    parts = segments(docs.where("doc_id IS NOT NULL"), k, wanted).join(wanted, "c", "left_semi")
+    parts = stage(parts.dropDuplicates(["c", "fragment"]), "ngram-segments")
+    shapes = stage(known.join(wanted, "c", "left_semi").select("c", "n", "parity").dropDuplicates(["c"]), "ngram-shapes")
 
     pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
-    tested = links = labels = None
+    tested = links = labels = None  # of all turns so far
     for turn in range(rounds + 1):
         salt = F.pmod("key", F.lit(4)) + 4 * turn
         if labels is None:
@@ -206,14 +253,12 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 3)
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = stage(found, "ngram-pairs")
-        new = stage(_verify(found, parts, percent), "ngram-links")
+        new = stage(_verify(stage(_close(found, shapes, percent), "ngram-close"), parts, percent), "ngram-links")
         tested = found if tested is None else tested.unionByName(found)
         fresh = new.limit(1).count()
         if fresh or links is None:
             links = new if links is None else links.unionByName(new)
             labels = components(links)
-        if turn and not found.limit(1).count() and turn >= rounds:
-            break
     group = classes.join(labels, classes.c == labels.node, "left").select("c", "d", "rep", F.coalesce("root", "c").alias("root"))
     least = group.groupBy("root").agg(F.min("rep").alias("component_id"))
     group = group.join(least, "root").select("c", "d", "component_id")
