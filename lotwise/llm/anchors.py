@@ -42,5 +42,6 @@ def anchors(rows: DataFrame, table: DataFrame, k: int) -> DataFrame:
     """
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    runs = with_shingles(rows, k, "key").select("key", F.posexplode("sh").alias("pos", "h"))
+    # the outer form keeps the optimizer from testing size(sh) > 0 below, with all of sh's expressions repeated
+    runs = with_shingles(rows, k, "key").select("key", F.posexplode_outer("sh").alias("pos", "h"))
     return runs.join(table, "h").select("key", "pos", "item", "at")

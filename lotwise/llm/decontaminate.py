@@ -49,8 +49,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
     )
     windows = stage(windows.withColumn("fp", F.expr(_FINGERPRINT)).drop("wh"), "leak-windows")
     marks = items.withColumn("fp", F.expr(_FINGERPRINT))
-    item_blocks = marks.select("item", "len", F.col("fp").alias("item_fp"), F.explode(F.expr(_BLOCKS)).alias("b")).select("item", "len", "item_fp", "b.*")
-    blocks = windows.select("key", "start", "len", "fp", F.explode(F.expr(_BLOCKS)).alias("b")).select("key", "start", "len", "fp", "b.*")
+    item_blocks = marks.select("item", "len", F.col("fp").alias("item_fp"), F.explode_outer(F.expr(_BLOCKS)).alias("b")).select("item", "len", "item_fp", "b.*")
+    blocks = windows.select("key", "start", "len", "fp", F.explode_outer(F.expr(_BLOCKS)).alias("b")).select("key", "start", "len", "fp", "b.*")
     near = blocks.join(item_blocks, ["len", "i", "v"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}")
     near = near.select("key", "start", "len", "item").distinct()
     both = near.join(windows.select("key", "doc_id", "start", "len", "sh"), ["key", "start", "len"]).join(

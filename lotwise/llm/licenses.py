@@ -9,7 +9,7 @@ of the template's shingles found there, by count, must reach the containment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .anchors import anchors, with_shingles
@@ -40,7 +40,8 @@ _BAND = f"transform(sequence(0, {BANDS - 1}), i -> named_struct('i', i, 'v', arr
 def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, containment: float = 0.8) -> DataFrame:
     """(doc_id, license, start, containment): a row for each license that a document names.
 
-    start is the first word of the first window that holds it, containment the best share found. Words are lower-case
+    start is the first word of the first window that holds it, containment the best share found. Where notices overlap,
+    only those with the best share count. Words are lower-case
     runs of letters and digits. Null, empty and texts of fewer than three words name none. A null doc_id stays null;
     rows of one doc_id and license are one row. The notices are a fixed list, so broadcasting them is bounded.
     """
@@ -58,15 +59,17 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, containm
         texts.select("key", "doc_id", F.col("sh").alias("all_sh")).join(spots, "key").where(f"size(all_sh) > w * {STRIDE}")
         .select("key", "doc_id", "w", "all_sh", F.expr(own).alias("sh"))
     )
-    bands = windows.select("doc_id", "w", "all_sh", F.explode(F.expr(_BAND)).alias("b")).select("doc_id", "w", "all_sh", "b.*")
-    marks = items.select("item", "license", "len", F.col("sh").alias("item_sh"), F.explode(F.expr(_BAND)).alias("b"))
+    bands = windows.select("key", "doc_id", "w", "all_sh", F.explode_outer(F.expr(_BAND)).alias("b")).select("key", "doc_id", "w", "all_sh", "b.*")
+    marks = items.select("item", "license", "len", F.col("sh").alias("item_sh"), F.explode_outer(F.expr(_BAND)).alias("b"))
     hits = bands.join(F.broadcast(marks.select("item", "license", "len", "item_sh", "b.*")), ["i", "v"])
     wide = f"slice(all_sh, greatest(w * {STRIDE} - len, 0) + 1, {WINDOW - K + 1} + 2 * len)"
     common = """aggregate(array_intersect(region, item_sh), 0, (s, x) ->
         s + least(size(filter(region, y -> y = x)), size(filter(item_sh, y -> y = x)))) / size(item_sh)"""
-    scored = hits.withColumn("region", F.expr(wide)).withColumn("containment", F.expr(common))
+    scored = hits.select("key", "doc_id", "w", "license", "item_sh", F.expr(wide).alias("region")).distinct()
+    scored = scored.withColumn("containment", F.expr(common)).where(F.col("containment") >= containment)
+    best = F.max("containment").over(Window.partitionBy("key", "w"))  # notices alike but for a version or a letter
     return (
-        scored.where(F.col("containment") >= containment).groupBy("doc_id", "license")
+        scored.withColumn("best", best).where("containment = best").groupBy("doc_id", "license")
         .agg((F.min("w") * STRIDE).cast("int").alias("start"), F.max("containment").alias("containment"))
     )
 
