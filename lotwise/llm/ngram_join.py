@@ -12,9 +12,10 @@ keys for their empty segments as well.
 Verification. A pair whose parity bit maps differ in more places than its sets may is no link; for the others overlaps
 are counted fragment by fragment and summed for each pair.
 
-Groups. Equal sets are one class. In a bucket of equal keys, members are first paired with a few hubs, and later only
-with members of other components, so a group of near copies costs pairs in proportion to its size; the last round pairs
-whatever is left, so no link between components is missed.
+Groups. Equal sets are one class. In a bucket of equal keys, members are first paired with a few hubs. Classes chained by
+buckets make a cluster; inside a cluster bit maps are compared in blocks, and a class is paired with the nearest class of
+another component, twice. The last turn pairs everything of different components that the bit maps don't rule out, so no
+link between components is missed, and groups of near copies cost pairs in proportion to their size.
 """
 
 from __future__ import annotations
@@ -67,8 +68,8 @@ def _digests(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> tuple[np
 
 
 def _parity(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Parity of each row's n-grams in a bit map of 64 * 2^i >= n bits: sets differ in at least as many places as these."""
-    bits = 1 << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64)
+    """Parity of each row's n-grams in a bit map of 64 * 2^i >= 2 n bits: sets differ in at least as many places as these."""
+    bits = 1 << np.ceil(np.log2(np.maximum(2 * sizes, 64))).astype(np.int64)
     base = np.cumsum(bits) - bits
     place = base[rows] + (mix(grams, 71) & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
     odd = np.bincount(place, minlength=int(bits.sum())) & 1
@@ -197,6 +198,93 @@ def _close(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return met.where(f"{differ} <= {may}").select("a", "b")
 
 
+def _compare(rows: dict[str, np.ndarray], parity: list[np.ndarray], crossed: bool, percent: int, nearest: bool):
+    """Pairs (a, b) of a cluster's rows in different components whose sizes and bit maps allow a link.
+
+    rows: c, label, n, side. nearest: only the closest such partner of every row.
+    """
+    order = np.argsort(rows["n"], kind="stable")
+    c, label, n, side = (rows[k][order] for k in ("c", "label", "n", "side"))
+    width = np.array([len(parity[i]) for i in order])
+    at = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}  # runs, as width grows with n
+    maps = {w: np.stack([parity[i] for i in order[ix]]).view(np.uint64) for w, ix in at.items()}
+    folded = {w: m[:, : w // 2] ^ m[:, w // 2 :] for w, m in maps.items() if w > 1}
+    top = np.searchsorted(n, n * 100 // percent, side="right")
+    best, partner = np.full(len(c), 1 << 40), np.full(len(c), -1)
+    out_a, out_b = [], []
+    for i in range(len(c)):
+        w = int(width[i])
+        own = maps[w][i - at[w][0]]
+        for other, matrix in ((w, maps[w]), (2 * w, folded.get(2 * w))):
+            if matrix is None:
+                continue
+            first = at[other][0]
+            lo, hi = max(i + 1, first), min(int(top[i]), first + len(matrix))
+            if lo >= hi:
+                continue
+            differ = np.bitwise_count(matrix[lo - first : hi - first] ^ own).sum(1, dtype=np.int64)
+            ok = (differ <= _differing(n[i], n[lo:hi], percent)) & (label[lo:hi] != label[i])
+            if crossed:
+                ok &= side[lo:hi] != side[i]
+            j = np.flatnonzero(ok)
+            if not len(j):
+                continue
+            if nearest:
+                d, j = differ[j], j + lo
+                closer = d < best[j]
+                best[j[closer]], partner[j[closer]] = d[closer], i
+                if d.min() < best[i]:
+                    best[i], partner[i] = d.min(), j[d.argmin()]
+            else:
+                out_a.append(np.full(len(j), i))
+                out_b.append(j + lo)
+    if nearest:
+        a = np.flatnonzero(partner >= 0)
+        b = partner[a]
+    else:
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+    return np.minimum(c[a], c[b]), np.maximum(c[a], c[b])
+
+
+def _cluster_pairs(rows: DataFrame, percent: int, nearest: bool, block: int = 4096) -> DataFrame:
+    """(a, b) of _compare for every cluster of rows (cluster, c, label, n, parity); large clusters go in pairs of blocks."""
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "cluster").withColumn("side", F.expr("pmod(xxhash64(c), blocks)").cast("int"))
+    rows = rows.withColumn("other", F.explode_outer(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("cluster", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"), "side", "c", "label", "n", "parity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            col = {k: t.column(k).to_numpy() for k in ("cluster", "b1", "b2", "side", "c", "label", "n")}
+            cut = np.flatnonzero((np.diff(col["cluster"]) != 0) | (np.diff(col["b1"]) != 0) | (np.diff(col["b2"]) != 0)) + 1
+            parity = t.column("parity").combine_chunks()
+            offsets, values = parity.offsets.to_numpy(), parity.values.to_numpy()
+            for lo, hi in zip(np.append(0, cut), np.append(cut, t.num_rows), strict=True):
+                one = {k: col[k][lo:hi] for k in ("c", "label", "n", "side")}
+                maps = [values[offsets[i] : offsets[i + 1]] for i in range(lo, hi)]
+                a, b = _compare(one, maps, col["b1"][lo] != col["b2"][lo], percent, nearest)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            same = np.ones(t.num_rows, bool)
+            for k in ("cluster", "b1", "b2"):
+                x = t.column(k).to_numpy()
+                same &= x == x[-1]
+            whole = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1  # rows before the last, maybe unfinished, cluster
+            held.append(t.slice(0, whole))
+            if whole:
+                yield from work(pa.concat_tables(held))
+                held = []
+            held.append(t.slice(whole))
+        if held:
+            yield from work(pa.concat_tables(held))
+
+    return rows.repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2").mapInArrow(run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that link: partial overlaps of equal fragments, summed."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
@@ -209,7 +297,7 @@ def _verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
 
 
-def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 3) -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, nearest_turns: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: components of sets with 100 * overlap >= percent * union.
 
     Words are split at ASCII white space and lower-cased in A-Z; a text of fewer than k words is one n-gram. Null and
@@ -233,31 +321,23 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 3)
     parts = stage(parts.dropDuplicates(["c", "fragment"]), "ngram-segments")
     shapes = stage(known.join(wanted, "c", "left_semi").select("c", "n", "parity").dropDuplicates(["c"]), "ngram-shapes")
 
-    pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
-    tested = links = labels = None  # of all turns so far
-    for turn in range(rounds + 1):
-        salt = F.pmod("key", F.lit(4)) + 4 * turn
-        if labels is None:
-            left = buckets.withColumn("label", F.col("c"))
-        else:
-            left = buckets.join(labels, buckets.c == labels.node, "left").select("key", "c", F.coalesce("root", "c").alias("label"))
-            left = left.select("*", F.min("label").over(per_key).alias("lo"), F.max("label").over(per_key).alias("hi"))
-            left = stage(left.where("lo < hi").drop("lo", "hi"), "ngram-left")
-        if turn < rounds:
-            order = F.xxhash64("c", salt)
-            hub = F.min(F.struct(order.alias("o"), F.col("c").alias("h"), F.col("label").alias("l"))).over(per_key)
-            found = pair(left.withColumn("hub", hub).where("label != hub.l"), F.col("c"), F.col("hub.h"))
-        else:  # whatever is left between components, exactly
-            other = left.select("key", F.col("c").alias("c2"), F.col("label").alias("label2"))
-            found = pair(left.join(other, "key").where("label < label2"), F.col("c"), F.col("c2"))
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        found = stage(found, "ngram-pairs")
-        new = stage(_verify(stage(_close(found, shapes, percent), "ngram-close"), parts, percent), "ngram-links")
-        tested = found if tested is None else tested.unionByName(found)
-        fresh = new.limit(1).count()
-        if fresh or links is None:
-            links = new if links is None else links.unionByName(new)
+    hub = F.min(F.struct(F.xxhash64("c", F.pmod("key", F.lit(4))).alias("o"), F.col("c").alias("h"))).over(per_key)
+    pairs = buckets.select("c", hub.alias("hub")).select(F.least("c", "hub.h").alias("a"), F.greatest("c", "hub.h").alias("b"))
+    tested = stage(pairs.where("a < b").distinct(), "ngram-pairs")
+    links = stage(_verify(stage(_close(tested, shapes, percent), "ngram-close"), parts, percent), "ngram-links")
+    chains = buckets.select(F.col("c").alias("a"), F.min("c").over(per_key).alias("b")).where("a != b").distinct()
+    clusters = components(chains).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+    members = stage(clusters.join(shapes, "c"), "ngram-members")
+    labels = components(links)
+    for nearest in [True] * nearest_turns + [False]:
+        left = members.join(labels, members.c == labels.node, "left").select("cluster", "c", F.coalesce("root", "c").alias("label"), "n", "parity")
+        mixed = left.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
+        found = _cluster_pairs(left.join(mixed, "cluster", "left_semi"), percent, nearest).distinct()
+        found = stage(found.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        new = stage(_verify(found, parts, percent), "ngram-links")
+        tested = tested.unionByName(found)
+        if new.limit(1).count():
+            links = links.unionByName(new)
             labels = components(links)
     group = classes.join(labels, classes.c == labels.node, "left").select("c", "d", "rep", F.coalesce("root", "c").alias("root"))
     least = group.groupBy("root").agg(F.min("rep").alias("component_id"))
