@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, load, stage
@@ -146,7 +146,7 @@ def _marked(bits: np.ndarray, cells: list[np.ndarray], size: int) -> np.ndarray:
     return ok
 
 
-def repeated_words(docs: DataFrame, cells: int = 1 << 24, depth: int = 2, bloom: int = 1 << 26, slices: int = 16) -> DataFrame:
+def repeated_words(docs: DataFrame, cells: int = 1 << 25, depth: int = 2, bloom: int = 1 << 26, slices: int = 16) -> DataFrame:
     """(doc_id, key, ranges): starts [a, b] of the windows of a document that start earlier elsewhere, as an array.
 
     The sketch takes cells * depth bytes in a task, the broadcast maps cells * depth / 8 and bloom / 8 bytes, at any
@@ -172,28 +172,31 @@ def repeated_words(docs: DataFrame, cells: int = 1 << 24, depth: int = 2, bloom:
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for blocks, column in pieces(batch):
                 if not len(blocks.anchor):
                     continue
                 keep = np.flatnonzero(_marked(often.value, _cells(blocks.anchor, cells, depth), cells))
                 first, last, row = blocks.first[keep], blocks.last[keep], blocks.row[keep]
                 h1, h2 = blocks.spans(first, last + WINDOW, blocks.at[keep] - first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1), pa.array(h2), pa.array(blocks.anchor[keep].view(np.int64)), pa.array(column(0)[row]), pa.array(column(1)[row]),
-                     pa.array(blocks.low[keep].astype(np.int32)), pa.array(blocks.high[keep].astype(np.int32))],
-                    ["h1", "h2", "anchor", "doc_id", "key", "low", "high"],
-                )
-
-    where = "doc_id long, key long, low int"
-    found = stage(rows.mapInArrow(group, f"h1 long, h2 long, anchor long, {where}, high int"), "substring-blocks")
+                anchor = blocks.anchor[keep].view(np.int64)
+                out.append((h1, h2, column(0)[row], column(1)[row], blocks.low[keep], anchor, blocks.high[keep] - blocks.low[keep]))
+            if out:
+                h1, h2, doc, key, low, anchor, more = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield _rows(h1=h1, h2=_half(h2), doc_id=doc, key=key, low=_half(low), anchor=anchor, more=_half(more), again=_again(h1, h2, doc, key, low))
+
+    where = "h1 long, h2 int, doc_id long, key long, low int"
+    found = stage(rows.mapInArrow(group, f"{where}, anchor long, more int, again boolean"), "substring-blocks")
     place = F.struct("doc_id", "key", "low")
-    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("anchor").alias("anchor"), F.count("*").alias("n"))
-    firsts = stage(firsts, "substring-firsts")
-    again = found.join(firsts.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first"))
-    ranges = again.select("doc_id", "key", F.struct("low", "high").alias("r"))
-
-    varied = firsts.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1").select("anchor")
-    spots = firsts.join(varied, "anchor").select("first.*")
+    # dealt by anchor once: equal blocks have equal anchors, so both windows need no other exchange; what repeats inside
+    # a task's batch is marked there, so a passage of very many documents meets here once for each batch
+    same, anchor = Window.partitionBy("anchor", "h1", "h2"), Window.partitionBy("anchor")
+    dealt = found.where("NOT again").repartition("anchor").withColumn("first", F.min(place).over(same) == place)
+    dealt = dealt.withColumn("varied", F.min("h1").over(anchor) != F.max("h1").over(anchor))
+    dealt = stage(dealt.where("NOT first OR varied").select("doc_id", "key", "low", "more", "first"), "substring-dealt")
+    span = F.struct("low", (F.col("low") + F.col("more")).alias("high")).alias("r")
+    ranges = dealt.where("NOT first").select("doc_id", "key", span).unionByName(found.where("again").select("doc_id", "key", span))
+    spots = dealt.where("first").select("doc_id", "key", "low")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(bloom // 2, np.uint8)
@@ -208,6 +211,7 @@ def repeated_words(docs: DataFrame, cells: int = 1 << 24, depth: int = 2, bloom:
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for blocks, column in pieces(batch):
                 if not len(blocks.anchor):
                     continue
@@ -220,19 +224,36 @@ def repeated_words(docs: DataFrame, cells: int = 1 << 24, depth: int = 2, bloom:
                 inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 start = np.repeat(blocks.first[keep], size) + inside
                 h1, h2 = blocks.spans(start, start + WINDOW)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1), pa.array(h2), pa.array(np.repeat(doc[keep], size)), pa.array(np.repeat(key[keep], size)),
-                     pa.array((np.repeat(blocks.low[keep], size) + inside).astype(np.int32))],
-                    ["h1", "h2", "doc_id", "key", "low"],
-                )
-
-    windows = stage(rows.mapInArrow(single, f"h1 long, h2 long, {where}"), "substring-windows")
-    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"]).where(place != F.col("first"))
-    ranges = ranges.unionByName(later.select("doc_id", "key", F.struct("low", F.col("low").alias("high")).alias("r")))
+                out.append((h1, h2, np.repeat(doc[keep], size), np.repeat(key[keep], size), np.repeat(blocks.low[keep], size) + inside))
+            if out:
+                h1, h2, doc, key, low = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield _rows(h1=h1, h2=_half(h2), doc_id=doc, key=key, low=_half(low), again=_again(h1, h2, doc, key, low))
+
+    windows = stage(rows.mapInArrow(single, f"{where}, again boolean"), "substring-windows")
+    one = F.struct("low", F.col("low").alias("high")).alias("r")
+    same = Window.partitionBy("h1", "h2")
+    later = windows.where("NOT again").withColumn("first", F.min(place).over(same) == place).where("NOT first")
+    for more in (later, windows.where("again")):
+        ranges = ranges.unionByName(more.select("doc_id", "key", one))
     return ranges.groupBy("doc_id", "key").agg(F.collect_set("r").alias("ranges"))
 
 
+def _half(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32)
+
+
+def _rows(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
+
+
+def _again(h1, h2, doc, key, low) -> np.ndarray:
+    """Rows whose hashes also stand at an earlier place among these rows."""
+    order = np.lexsort((low, key, doc, h2, h1))
+    out = np.zeros(len(h1), bool)
+    out[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+    return out
+
+
 def _spot(doc: np.ndarray, key: np.ndarray, low: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.int64).view(np.uint64), 61) + mix(key.astype(np.int64).view(np.uint64), 62) + low.astype(np.uint64), 63)
 
@@ -245,7 +266,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     a hash of the text; rows equal in both are one document, each getting its result. Empty tables give no rows.
     """
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    rows = id_and_text(docs).select(F.col("doc_id").alias("id"), last.alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    rows = id_and_text(docs)
+    single = not rows.groupBy("doc_id").count().where("count > 1").limit(1).count()  # then doc_id alone orders the documents
+    key = F.lit(0).cast("long") if single else F.xxhash64("text")
+    rows = rows.select(F.col("doc_id").alias("id"), last.alias("doc_id"), key.alias("key"), "text")
     cut = repeated_words(rows)
     joined = rows.join(cut, ["doc_id", "key"], "left").select("id", "text", "ranges")
 
