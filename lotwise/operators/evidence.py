@@ -132,7 +132,7 @@ def raw_context(text: str, raw: str, n: int = 1200) -> tuple[Column, Column, Col
 
 def snippet(query: str, raw: str) -> Column:
     """The part of a post (between ` - [ ] `, bullets or bars) that shares most tokens with the query; then the shortest."""
-    parts = F.filter(F.transform(F.split(F.col(raw), r" - \[ \] | • | \| "), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.col(raw), r" - \[ \] | • | \| "), lambda p: F.trim(p)), lambda p: p != "")
     q = F.array_distinct(T.tokens(query))
     ranked = F.transform(parts, lambda p, i: F.struct(F.size(F.array_intersect(q, T.tokens(p))).alias("o"), (-F.length(p)).alias("l"), (-i).alias("i"), p.alias("p")))
     return F.array_max(ranked).p

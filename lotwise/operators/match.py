@@ -56,10 +56,11 @@ def breaks_run(tok: Column) -> Column:
 def local_descriptor_join(candidates: DataFrame, queries: DataFrame, listings: DataFrame, span: int = 12) -> DataFrame:
     """(query_id, listing_id): candidates whose query has no descriptor, or has all within span tokens right of a reference."""
     terms = query_terms(queries).select("query_id", "descs")
-    toks = listings.select("listing_id", T.tokens("listing_text").alias("toks"))
+    both = candidates.join(terms, "query_id").join(listings.select("listing_id", "listing_text"), "listing_id")
+    both = both.withColumn("toks", T.tokens("listing_text"))  # after the join: only candidates are tokenised again
     right = F.slice("toks", F.col("pos") + 2, span)
     stop = F.expr("coalesce(nullif(array_position(brk, true), 0) - 1, size(brk))").cast("int")
-    both = candidates.join(terms, "query_id").join(toks, "listing_id").withColumn("right", right)
+    both = both.withColumn("right", right)
     both = both.withColumn("brk", F.transform("right", breaks_run))
     local = T.canonical_tokens(F.slice("right", F.lit(1), F.greatest(stop, F.lit(0))))
     return both.where(F.size(F.array_except("descs", local)) == 0).select("query_id", "listing_id").distinct()
@@ -71,11 +72,13 @@ def descriptor_candidates(queries: DataFrame, listings: DataFrame) -> DataFrame:
     Joined on the query's rarest descriptor, so that frequent words don't become hot keys; the rest is verified.
     """
     terms = query_terms(queries).where("size(refs) = 0 AND size(descs) > 0").select("query_id", "descs")
-    toks = listings.select("listing_id", F.array_distinct(T.canonical_tokens(T.tokens("listing_text"))).alias("words"))
-    index = toks.select("listing_id", "words", F.explode("words").alias("word"))
+    wanted = terms.select("query_id", "descs", F.explode("descs").alias("word"))
+    words = listings.select("listing_id", F.array_distinct(T.canonical_tokens(T.tokens("listing_text"))).alias("words"))
+    index = words.select("listing_id", "words", F.explode_outer("words").alias("word"))
+    index = index.join(wanted.select("word").distinct(), "word", "left_semi")
     spread = index.groupBy("word").agg(F.count("*").alias("df"))
-    rare = terms.select("query_id", "descs", F.explode("descs").alias("word")).join(spread, "word", "left")
-    rare = rare.groupBy("query_id", "descs").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    rare = wanted.join(spread, "word", "left").groupBy("query_id", "descs")
+    rare = rare.agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     found = index.join(rare, "word").where(F.size(F.array_except("descs", "words")) == 0)
     return found.select("query_id", "listing_id").distinct()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -82,6 +84,9 @@ def group_similar(rows: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFr
     Transitive by design. Labels sink along pairs until none changes; each round is written to the checkpoint folder
     (set spark.checkpoint.dir), so a lost executor costs one round.
     """
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():  # a cluster names its shared folder in spark.checkpoint.dir
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lotwise-"))
     labels = rows.select("query_id", "listing_id", F.struct("rank_in", "listing_id").alias("label")).checkpoint()
     both = pairs.select("query_id", F.col("a_listing_id").alias("x"), F.col("b_listing_id").alias("y"))
     both = both.unionByName(both.select("query_id", F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()

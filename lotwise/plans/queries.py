@@ -30,7 +30,8 @@ def query(sql: str | None = None, *views: str):
         if sql:
             head = duck(*views) if views else ""
             more = sql.lstrip().startswith(",")
-            ORACLES[f.__name__] = f"{head}{'' if more or not head else chr(10)}{sql}"
+            text = f"{head}{'' if more or not head else chr(10)}{sql}"
+            ORACLES[f.__name__] = text.replace("WITH", "WITH RECURSIVE", 1) if "UNION SELECT reach." in text else text
         return f
 
     return add
