@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -163,5 +164,5 @@ def refine_with(rows: DataFrame, cached: DataFrame, fn, keys: list[str]) -> Data
     """Refined texts: cached ones first; fn maps Arrow batches of the others (pandas frames to pandas frames with refined_text)."""
     known = rows.join(cached, keys)
     todo = rows.join(cached, keys, "left_anti")
-    schema = todo.schema.add("refined_text", "string")
+    schema = StructType([*todo.schema.fields, StructField("refined_text", StringType())])
     return known.unionByName(todo.mapInPandas(fn, schema), allowMissingColumns=True)

@@ -18,9 +18,9 @@ ITEM_SEPARATOR = r"\s*(?:->|➡|•|\|)\s*"
 def listings_from_json(raw: DataFrame, column: str = "body") -> DataFrame:
     """One row for each item of `{"listings": [...]}` or `[...]`; bodies that are neither, and bad JSON, give none."""
     body = F.trim(F.col(column))
-    both = F.from_json(body, f"struct<listings:array<{ITEM}>>").listings
-    items = F.when(body.startswith("{"), both).when(body.startswith("["), F.from_json(body, f"array<{ITEM}>"))
-    rows = raw.select("page_id", F.posexplode(items).alias("item_no", "i")).where("i IS NOT NULL")
+    texts = F.when(body.startswith("{"), F.from_json(body, "struct<listings:array<string>>").listings).when(body.startswith("["), F.from_json(body, "array<string>"))
+    rows = raw.select("page_id", F.posexplode_outer(texts).alias("item_no", "one")).where(F.col("one").startswith("{"))  # objects only
+    rows = rows.select("page_id", "item_no", F.from_json("one", ITEM).alias("i")).where("i IS NOT NULL")
     image = F.coalesce("i.frontImage", "i.imageUrl", "i.image_url")
     out = rows.select(
         "page_id", "item_no", T.squeeze("i.title").alias("listing_text"), T.squeeze(F.coalesce("i.companyName", "i.fromName")).alias("seller"),
