@@ -79,7 +79,7 @@ def code_lengths(c3: np.ndarray) -> np.ndarray:
         """Bits of the seen bytes, bits of the escape, and what is excluded below."""
         left = np.where(excluded, 0, counts)
         n, q = left.sum(-1, keepdims=True), (left > 0).sum(-1, keepdims=True)
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             seen = np.log2(n + q) - np.log2(left)
             escape = np.where(q > 0, np.log2(n + q) - np.log2(np.maximum(q, 1)), 0.0)
         return seen, escape, excluded | (counts > 0)
