@@ -275,3 +275,30 @@ def t5_alert_throttle(s, d):
 @query()
 def t6_repeat_queries(s, d):
     return J.batch_throttle(table(s, d, "events")).select("key", "event_id", (~F.col("passed")).alias("served"))
+
+
+@query()
+def x3_similar_pairs_with_ratio(s, d):
+    """Similar pairs with the sequence ratio for pairs whose word overlap falls short (Arrow, residual pairs only)."""
+    return S.similar_pairs(joined(s, d), with_ratio=True)
+
+
+@query("SELECT event_type, user_id, min(ts) AS first_seen FROM events GROUP BY 1, 2")
+def t1_dedupe_stream(s, d):
+    """First arrival of each key, by the streaming dedupe over the whole table as one batch of files."""
+    rows = table(s, d, "events").select(F.col("ts").alias("seen_at"), F.col("event_type").alias("listing_text"), F.col("user_id").cast("string").alias("seller"), F.lit("2026").alias("posted_date"), F.col("user_id"))
+    once = D.dedupe_exact(rows.withColumn("rank_in", F.col("seen_at")))
+    return once.select(F.col("listing_text").alias("event_type"), "user_id", F.col("seen_at").alias("first_seen"))
+
+
+@query("SELECT query_text, result_rank, reason, reporter_id, listing_text, count(*) AS report_count FROM feedback_v GROUP BY 1, 2, 3, 4, 5", "feedback_v")
+def t7_stream_feedback(s, d):
+    """Reports written by a stream of micro-batches to a log and merged by key on reading."""
+    from ..sources.shared import scratch
+
+    source, log = scratch(s, "reports"), scratch(s, "report-log")
+    fb = view(s, d, "feedback_v")
+    fb.repartition(4, "report_id").write.parquet(source)
+    J.stream_feedback(J.event_stream(s, source), log, scratch(s, "report-state")).awaitTermination()
+    back = s.read.schema(fb.schema).parquet(log)
+    return I.upsert_feedback(back).select("query_text", "result_rank", "reason", "reporter_id", "listing_text", "report_count")
