@@ -59,10 +59,13 @@ def similar_pairs(rows: DataFrame, least: float = 0.78, with_ratio: bool = False
     score = F.when((F.size("a_words") > 0) & (F.size("b_words") > 0), shared / F.size(F.array_union("a_words", "b_words"))).otherwise(0.0)
     both = both.where(~_conflict("a_refs", "b_refs") & ~_conflict("a_years", "b_years") & ~_condition_conflict() & (shared >= least_words))
     both = both.withColumn("score", score)
-    if with_ratio:
-        both = both.withColumn("score", F.when(F.col("score") < least, F.greatest("score", sequence_ratio(F.array_join(F.array_sort("a_words"), " "), F.array_join(F.array_sort("b_words"), " ")))).otherwise(F.col("score")))
     keep = ["query_id", "a_listing_id", "b_listing_id", "a_rank_in", "b_rank_in", "score"]
-    return both.where(F.col("score") >= least).select(*keep).distinct()
+    out = both.where(F.col("score") >= least)
+    if with_ratio:  # Python sees the residual pairs only
+        words = [F.array_join(F.array_sort(c), " ") for c in ("a_words", "b_words")]
+        rest = both.where(F.col("score") < least).withColumn("score", sequence_ratio(*words)).where(F.col("score") >= least)
+        out = out.unionByName(rest)
+    return out.select(*keep).distinct()
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:

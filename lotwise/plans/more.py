@@ -284,8 +284,8 @@ def x3_similar_pairs_with_ratio(s, d):
 
 
 @query("SELECT event_type, user_id, min(ts) AS first_seen FROM events GROUP BY 1, 2")
-def t1_dedupe_stream(s, d):
-    """First arrival of each key, by the streaming dedupe over the whole table as one batch of files."""
+def t1_dedupe_arrivals(s, d):
+    """Batch twin of stream_dedupe_listings: the first arrival of each key."""
     rows = table(s, d, "events").select(F.col("ts").alias("seen_at"), F.col("event_type").alias("listing_text"), F.col("user_id").cast("string").alias("seller"), F.lit("2026").alias("posted_date"), F.col("user_id"))
     once = D.dedupe_exact(rows.withColumn("rank_in", F.col("seen_at")))
     return once.select(F.col("listing_text").alias("event_type"), "user_id", F.col("seen_at").alias("first_seen"))
