@@ -246,7 +246,7 @@ def _compare(rows: dict[str, np.ndarray], parity: list[np.ndarray], crossed: boo
     return np.minimum(c[a], c[b]), np.maximum(c[a], c[b])
 
 
-def _cluster_pairs(rows: DataFrame, percent: int, nearest: bool, block: int = 4096) -> DataFrame:
+def _cluster_pairs(rows: DataFrame, percent: int, nearest: bool, block: int = 16384) -> DataFrame:
     """(a, b) of _compare for every cluster of rows (cluster, c, label, n, parity); large clusters go in pairs of blocks."""
     sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = rows.join(sizes, "cluster").withColumn("side", F.expr("pmod(xxhash64(c), blocks)").cast("int"))
