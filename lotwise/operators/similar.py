@@ -50,7 +50,7 @@ def similar_pairs(rows: DataFrame, least: float = 0.78, with_ratio: bool = False
     with_ratio the pairs whose word overlap falls short are scored again by their sequence ratio.
     """
     p = profile(rows)
-    side = lambda s: p.select("query_id", *[F.col(c).alias(f"{s}_{c}") for c in p.columns if c != "query_id"], F.explode("prices").alias("price"))
+    side = lambda s: p.select("query_id", *[F.col(c).alias(f"{s}_{c}") for c in p.columns if c != "query_id"], F.explode_outer("prices").alias("price"))  # noqa: E731  null prices join nothing
     both = side("a").join(side("b"), ["query_id", "price"]).where(
         (F.col("a_rank_in") < F.col("b_rank_in")) | ((F.col("a_rank_in") == F.col("b_rank_in")) & (F.col("a_listing_id") < F.col("b_listing_id")))
     )
