@@ -14,6 +14,7 @@ from lotwise.operators import evidence as E
 from lotwise.operators import issues as I
 from lotwise.operators import match as M
 from lotwise.operators import similar as S
+from lotwise.plans import files, more  # noqa: F401  they register their queries
 from lotwise.plans.queries import ORACLES, QUERIES
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
