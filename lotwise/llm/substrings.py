@@ -183,7 +183,9 @@ def repeated_words(docs: DataFrame, cells: int = 1 << 25, depth: int = 2, bloom:
                 out.append((h1, h2, column(0)[row], column(1)[row], blocks.low[keep], anchor, blocks.high[keep] - blocks.low[keep]))
             if out:
                 h1, h2, doc, key, low, anchor, more = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield _rows(h1=h1, h2=_half(h2), doc_id=doc, key=key, low=_half(low), anchor=anchor, more=_half(more), again=_again(h1, h2, doc, key, low))
+                kept, again = _again(h1, h2, doc, key, low)
+                h1, h2, doc, key, low, anchor, more = (x[kept] for x in (h1, h2, doc, key, low, anchor, more))
+                yield _rows(h1=h1, h2=_half(h2), doc_id=doc, key=key, low=_half(low), anchor=anchor, more=_half(more), again=again)
 
     where = "h1 long, h2 int, doc_id long, key long, low int"
     found = stage(rows.mapInArrow(group, f"{where}, anchor long, more int, again boolean"), "substring-blocks")
@@ -227,7 +229,9 @@ def repeated_words(docs: DataFrame, cells: int = 1 << 25, depth: int = 2, bloom:
                 out.append((h1, h2, np.repeat(doc[keep], size), np.repeat(key[keep], size), np.repeat(blocks.low[keep], size) + inside))
             if out:
                 h1, h2, doc, key, low = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield _rows(h1=h1, h2=_half(h2), doc_id=doc, key=key, low=_half(low), again=_again(h1, h2, doc, key, low))
+                kept, again = _again(h1, h2, doc, key, low)
+                h1, h2, doc, key, low = (x[kept] for x in (h1, h2, doc, key, low))
+                yield _rows(h1=h1, h2=_half(h2), doc_id=doc, key=key, low=_half(low), again=again)
 
     windows = stage(rows.mapInArrow(single, f"{where}, again boolean"), "substring-windows")
     one = F.struct("low", F.col("low").alias("high")).alias("r")
@@ -246,12 +250,13 @@ def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
 
-def _again(h1, h2, doc, key, low) -> np.ndarray:
-    """Rows whose hashes also stand at an earlier place among these rows."""
+def _again(h1, h2, doc, key, low) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each hashes and place, and which of them stand at an earlier place too: a repeated row is no repeat."""
     order = np.lexsort((low, key, doc, h2, h1))
-    out = np.zeros(len(h1), bool)
-    out[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-    return out
+    same, moved = np.zeros(len(h1), bool), np.ones(len(h1), bool)
+    same[1:] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+    moved[1:] = ~same[1:] | np.any([x[order[1:]] != x[order[:-1]] for x in (doc, key, low)], axis=0)
+    return order[moved], same[moved]
 
 
 def _spot(doc: np.ndarray, key: np.ndarray, low: np.ndarray) -> np.ndarray:

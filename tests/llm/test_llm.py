@@ -204,6 +204,17 @@ def test_substrings_equal_brute_force(corpus):
     assert got == want and sum(x[1] for x in want.values()) > 500
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_repeated_rows_are_one_document(spark, parts):
+    """Rows equal in id and text, or of one text without id, keep their words, in one batch and in two."""
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    half = [(1, text("a")), (None, text("b")), (2, text("c") + " " + text("a", 25))]
+    rows = half + [*half[:2], (3, text("d"))]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.dedup_substrings(docs).collect()))
+    assert got == [(0, 40, 0), (0, 40, 0), (1, 40, 0), (1, 40, 0), (2, 65, 25), (3, 40, 0)]
+
+
 def test_a_full_sketch_loses_nothing(corpus):
     """With very few cells everything looks repeated, and the result stays the same."""
     rows = corpus.select("doc_id", F.xxhash64("text").alias("key"), "text")
