@@ -81,11 +81,13 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def group_similar(rows: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def group_similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """rows with group_id: connected components of the pairs within a query, named by their first rank.
 
-    Transitive by design. Labels sink along pairs until none changes; each round is written to the checkpoint folder
-    (set spark.checkpoint.dir), so a lost executor costs one round.
+    Transitive by design. An offer takes the least label of its neighbours, hands it to the offer that named it so far,
+    and then takes its new namesake's label, until no label moves: reach about doubles each round, whatever the length
+    of a chain. Each round is written to the checkpoint folder (set spark.checkpoint.dir), so a lost executor costs one
+    round.
     """
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():  # a cluster names its shared folder in spark.checkpoint.dir
@@ -93,12 +95,17 @@ def group_similar(rows: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFr
     labels = rows.select("query_id", "listing_id", F.struct("rank_in", "listing_id").alias("label")).checkpoint()
     both = pairs.select("query_id", F.col("a_listing_id").alias("x"), F.col("b_listing_id").alias("y"))
     both = both.unionByName(both.select("query_id", F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
-    for _ in range(rounds):
-        offers = both.join(labels.withColumnRenamed("listing_id", "x"), ["query_id", "x"]).groupBy("query_id", F.col("y").alias("listing_id")).agg(F.min("label").alias("low"))
-        new = labels.join(offers, ["query_id", "listing_id"], "left").select(
-            "query_id", "listing_id", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")
+    while True:
+        of = lambda c: labels.select("query_id", F.col("listing_id").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
+        seen = both.join(of("x"), ["query_id", "x"]).groupBy("query_id", "y").agg(F.min("x_label").alias("low")).join(of("y"), ["query_id", "y"])
+        offers = seen.select("query_id", F.explode(F.array("y", "y_label.listing_id")).alias("listing_id"), "low")
+        offers = offers.groupBy("query_id", "listing_id").agg(F.min("low").alias("low"))
+        met = labels.join(offers, ["query_id", "listing_id"], "left").withColumn("near", F.least("label", F.coalesce("low", "label"))).drop("low").checkpoint()
+        named = met.groupBy("query_id", F.col("listing_id").alias("namesake")).agg(F.min("near").alias("far"))
+        new = met.withColumn("namesake", F.col("near.listing_id")).join(named, ["query_id", "namesake"]).select(
+            "query_id", "listing_id", F.least("near", "far").alias("next"), (F.least("near", "far") < F.col("label")).alias("moved")
         ).checkpoint()
-        labels = new.drop("moved")
+        labels = new.select("query_id", "listing_id", F.col("next").alias("label"))
         if not new.where("moved").limit(1).count():
             break
     w = Window.partitionBy("query_id", "group_id")

@@ -81,6 +81,19 @@ def test_similar_groups(spark):
     assert got[(2, "a")] == ("a", 1, True)
 
 
+def test_chains_longer_than_any_number_of_rounds(spark):
+    order = [i * 37 % 101 for i in range(101)]  # 0 comes first, the labels along the second chain are mixed
+    links = [(1, i, i + 1) for i in range(50)] + [(2, *sorted(p)) for p in zip(order, order[1:], strict=False)] + [(3, 7, 9)]
+    pairs = spark.createDataFrame(links, "query_id int, a_listing_id int, b_listing_id int")
+    rows = [(q, i, i) for q, n in ((1, 51), (2, 101), (3, 10)) for i in range(n)]
+    got = S.group_similar(spark.createDataFrame(rows, "query_id int, listing_id int, rank_in int"), pairs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lone = r.query_id == 3 and r.listing_id not in (7, 9)
+        want = (r.listing_id, 1) if lone else {1: (0, 51), 2: (0, 101), 3: (7, 2)}[r.query_id]
+        assert (r.group_id, r.group_size) == want and r.is_primary == (r.listing_id == want[0])
+
+
 def test_suspicious_rules(spark):
     cases = {"5711 blue HKD": "ends_with_currency", "5711/1A": "reference_only_fragment", "5711 blue nice": "missing_price_evidence", "5711 blue 800k": None}
     for text, want in cases.items():
