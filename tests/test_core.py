@@ -16,6 +16,7 @@ from lotwise.operators import match as M
 from lotwise.operators import similar as S
 from lotwise.plans import files, more  # noqa: F401  they register their queries
 from lotwise.plans.queries import ORACLES, QUERIES
+from lotwise.sources.views import view
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -94,6 +95,15 @@ def test_chains_longer_than_any_number_of_rounds(spark):
         assert (r.group_id, r.group_size) == want and r.is_primary == (r.listing_id == want[0])
 
 
+def test_descriptor_candidates_of_all_queries(spark, tiny):
+    plain = lambda t: {w for w in t.lower().split() if not any(c.isdigit() for c in w)}
+    q = [(r.query_id, plain(r.query_text)) for r in view(spark, tiny, "queries_v").collect()]
+    ls = [(r.listing_id, set(r.listing_text.lower().split())) for r in view(spark, tiny, "listings_v").collect()]
+    got = QUERIES["j3_descriptor_candidates_all"](spark, tiny).collect()
+    assert sorted((r.query_id, r.listing_id) for r in got) == sorted((i, k) for i, ds in q if ds for k, t in ls if ds <= t)
+    assert max(r.query_id for r in got) > 100
+
+
 def test_suspicious_rules(spark):
     cases = {"5711 blue HKD": "ends_with_currency", "5711/1A": "reference_only_fragment", "5711 blue nice": "missing_price_evidence", "5711 blue 800k": None}
     for text, want in cases.items():
