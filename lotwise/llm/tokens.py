@@ -44,8 +44,8 @@ class UnitEncoder(dict):
 
     Byte-level pre-tokenization never joins anything over a blank with other characters on both sides but the blank
     itself to the word after it, so units encode alone; so do the two sides of a single line end. A word with trailing
-    marks is two pre-tokens, and the library's BPE model is asked for each. Texts with the special token's string go to
-    the library whole. Keys are the unit's text after its blank, or START and the text of a unit without blank. A worker
+    marks is two pre-tokens, and the library's BPE model is asked for each. Texts with the special token's string or with
+    START go to the library whole. Keys are the unit's text after its blank, or START and the text of a unit without blank. A worker
     remembers at most ``memory`` units and half as many words; others are encoded again when met again.
     """
 
@@ -106,7 +106,7 @@ class UnitEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
-        if any(s in text for s in self.special):
+        if self.START in text or any(s in text for s in self.special):
             return self.whole(text)
         pieces = _TIGHT.split(text) if any(x in text for x in _ODD) else text.split(" ")
         pieces[0] = self.START + pieces[0]

@@ -163,6 +163,12 @@ def test_token_index_equals_the_library(spark, corpus, awkward):
         start += len(ids)
 
 
+def test_units_with_a_nul_equal_the_library():
+    enc = tokens.UnitEncoder(tokens.default_tokenizer())
+    for text in ("x \0y", "\0y", "x y\0 z", "\0", "x \0 y", "x \0\0y\n\0z"):
+        assert enc.encode(text) == np.array(enc.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def brute_sets(rows, k):
     out = {}
     for i, t in rows:
