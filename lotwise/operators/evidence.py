@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import scratch
 
 # What counts as a visible price, karat gold that does not, stock-list markers.
 PRICE_SEEN = (
@@ -182,3 +183,26 @@ def page(ranked: DataFrame, offset: int, limit: int, query: str = "query_id") ->
     rows = ranked.withColumn("total_count", total).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
     more = F.col("total_count") > offset + limit
     return rows.withColumns({"has_more": more, "next_offset": F.when(more, F.lit(offset + limit))})
+
+
+def order_results(rows: DataFrame, mode: str, rank: str = "rank_in", id_: str = "listing_id") -> DataFrame:
+    """rows with place, from 1 over all rows, by rank, posted_desc, seller (code points), price_asc or price_desc.
+
+    Priceless and undated rows come last either way, ties go by rank and id. Rows are dealt by ranges and sorted inside
+    them; only a count for each range meets in one task. The sorted rows are written once.
+    """
+    first = {
+        "rank": [], "posted_desc": [F.col("posted_date").desc_nulls_last()], "seller": [F.coalesce("seller", F.lit("")).asc()],
+        "price_asc": [F.col("price").asc_nulls_last()], "price_desc": [F.col("price").desc_nulls_last()],
+    }
+    order = [*first[mode], F.col(rank).asc(), F.col(id_).asc()]
+    path = scratch(rows.sparkSession, "ordered")
+    at = F.monotonically_increasing_id()  # the task's number from bit 33, the row's inside it below
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at)
+    sorted_.write.parquet(path)
+    out = rows.sparkSession.read.schema(sorted_.schema).parquet(path)
+    out = out.withColumns({"__range": F.shiftright("__at", 33), "__inside": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = out.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.col("__inside") + 1
+    return out.join(F.broadcast(starts), "__range").withColumn("place", place).drop("__at", "__range", "__inside", "__start")

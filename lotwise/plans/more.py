@@ -238,6 +238,13 @@ def o1_order_by_price(s, d):
     return first.select("listing_id", place.alias("place"))
 
 
+@query("SELECT listing_id, row_number() OVER (ORDER BY price NULLS LAST, listing_id) AS place FROM (SELECT listing_id, CAST(nullif(regexp_extract(listing_text, 'HKD ([0-9]+)', 1), '') AS BIGINT) AS price FROM listings_v)", "listings_v")
+def o1_order_by_price_all(s, d):
+    """Places of all listings by price; o1_order_by_price keeps the thousand places that its SQL names."""
+    rows = listings(s, d).select("listing_id", "rank_in", N.display_price("listing_text", "listing_text").alias("price"))
+    return E.order_results(rows, "price_asc").select("listing_id", "place")
+
+
 @query("SELECT listing_id, 'accepted' AS gate_status FROM listings_v", "listings_v")
 def x2_gate_suggestions(s, d):
     rows = listings(s, d).withColumns({"suggested_text": F.col("listing_text"), "raw_listing_text": F.concat(F.lit("x | "), "listing_text"), "query_text": F.split_part("listing_text", F.lit(" "), F.lit(2))})

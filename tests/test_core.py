@@ -104,6 +104,19 @@ def test_descriptor_candidates_of_all_queries(spark, tiny):
     assert max(r.query_id for r in got) > 100
 
 
+def test_order_results_places_every_row_in_five_modes(spark):
+    day = lambda i: None if i % 7 == 0 else dt.date(2024, 1, 1 + i % 5)
+    rows = [(f"{i:04}", i * 37 % 1501, None if i % 3 == 0 else i % 11, day(i), None if i % 13 == 0 else "ab"[i % 2]) for i in range(1501)]
+    df = spark.createDataFrame(rows, "listing_id string, rank_in int, price int, posted_date date, seller string")
+    keys = {
+        "rank": lambda r: (), "seller": lambda r: r[4] or "", "price_asc": lambda r: (r[2] is None, r[2] or 0), "price_desc": lambda r: (r[2] is None, -(r[2] or 0)),
+        "posted_desc": lambda r: (r[3] is None, -r[3].toordinal() if r[3] else 0),
+    }
+    for mode, key in keys.items():
+        got = {r.place: r.listing_id for r in E.order_results(df, mode).collect()}
+        assert [got[i + 1] for i in range(len(got))] == [r[0] for r in sorted(rows, key=lambda r: (key(r), r[1], r[0]))]
+
+
 def test_suspicious_rules(spark):
     cases = {"5711 blue HKD": "ends_with_currency", "5711/1A": "reference_only_fragment", "5711 blue nice": "missing_price_evidence", "5711 blue 800k": None}
     for text, want in cases.items():
