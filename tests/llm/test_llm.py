@@ -297,6 +297,48 @@ def test_code_lengths_are_probabilities():
     assert language.code_lengths(few)[1, 2, 3] == pytest.approx(np.log2(5 / 4))
 
 
+def test_code_lengths_equal_brute_force():
+    """Every byte value counts, at several depths."""
+    rng = np.random.default_rng(3)
+    text, new = rng.integers(0, 256, 3000).astype(np.uint8), np.concatenate([rng.integers(0, 256, 200), [7] * 50]).astype(np.uint8)
+    text[500:1500] = rng.integers(100, 104, 1000)
+    for order in (0, 2, 3):
+        seen = defaultdict(Counter)
+        before = lambda b, i, k: bytes(order)[: max(0, k - i)] + b[max(0, i - k) : i]  # noqa: B023, E731
+        for i in range(len(text)):
+            for k in range(order + 1):
+                seen[before(text.tobytes(), i, k)][text[i]] += 1
+        want = 0.0
+        for i, byte in enumerate(new):
+            out = set()
+            for k in range(order, -1, -1):
+                left = {s: n for s, n in seen[before(new.tobytes(), i, k)].items() if s not in out}
+                total = sum(left.values()) + len(left)
+                if byte in left:
+                    want += np.log2(total / left[byte])
+                    break
+                want += np.log2(total / len(left)) if left else 0
+                out |= set(left)
+            else:
+                want += np.log2(max(1, 256 - len(out)))
+        codes, n = np.unique(language._codes(text, np.array([0, len(text)]), order), return_counts=True)
+        model = language.LanguageModel([("a", int(c), int(k)) for c, k in zip(codes, n, strict=True)], order)
+        assert model.bits(new, np.array([0, len(new)]))[0, 0] == pytest.approx(want)
+
+
+def test_a_rare_script_keeps_its_languages(spark):
+    """Two languages that differ in their lead bytes only, a hundredth of the corpus, stay apart."""
+    rng = random.Random(5)
+    letters = lambda a, n: [chr(a + i) for i in range(n)]
+    of = {"latin": letters(0x21, 94), "han": letters(0x4E00, 6000), "greek": letters(0x391, 16), "cyrillic": letters(0x411, 16)}
+    word = lambda lang: "".join(rng.choice(of[lang]) for _ in range(6))
+    names = ["latin"] * 1200 + ["han"] * 800 + ["greek"] * 10 + ["cyrillic"] * 10
+    rows = [(i, " ".join(word(lang) for _ in range(30)), lang) for i, lang in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = language.identify(docs, language.train(docs), "lang").where("lang IN ('greek', 'cyrillic')").collect()
+    assert len(got) == 20 and all(r.lang == r.lang_pred and r.score > 0.99 for r in got)
+
+
 def test_pipeline_stages_take_effect(spark, tiny):
     import corpus_pipeline as p
 
