@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word everywhere in this package: a run of bytes that are no ASCII white space.
@@ -57,32 +57,34 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df marked for broadcast if it has at most this many rows, else as it is; meant for few, narrow columns."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node that node reaches.
 
     Alternating large-star and small-star rounds; each round is written and compared with the one before, so no link
-    list and no component ever reaches the driver. Nodes of no edge are absent; loops and repeats don't matter.
+    list and no component ever reaches the driver. A node's smallest neighbour is aggregated before it is shuffled and
+    joined back, so that a node of very many edges doesn't bring them all to one task. Nodes of no edge are absent; loops
+    and repeats don't matter.
     """
     e = stage(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    before = None
-    while True:
+    state = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state(e)
+    while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = (
-            both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        )
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        e = stage(
-            small.select("u", F.col("m").alias("v"))
-            .unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-            .where("u != v")
-            .distinct(),
-            "edges",
-        )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = stage(large.where("u != v").distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_star = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        e = stage(small_star.select("e.*").where("u != v").distinct(), "edges")
+        now = state(e)
+        if now == before:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

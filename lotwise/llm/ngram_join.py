@@ -1,21 +1,20 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is the order of their 64-bit hashes; cutting it at even places gives fragments, and a
-document's set of n-grams falls into one segment for each fragment.
-
-Candidates. Two sets whose similarity reaches the threshold differ in at most d n-grams, d known from their sizes. With
-more than d fragments, some segment must be equal, so equal (level, fragment, segment digest) keys find every link; a
-passage that many documents share makes no segment equal by itself. Levels are size classes; a document whose partners
-may be in the next class has keys there too. Documents so unevenly spread that all equal segments could be empty have
-keys for their empty segments as well.
-
-Verification. A pair whose parity bit maps differ in more places than its sets may is no link; for the others overlaps
-are counted fragment by fragment and summed for each pair.
-
-Groups. Equal sets are one class. In a bucket of equal keys, members are first paired with a few hubs. Classes chained by
-buckets make a cluster; inside a cluster bit maps are compared in blocks, and a class is paired with the nearest class of
-another component, twice. The last turn pairs everything of different components that the bit maps don't rule out, so no
-link between components is missed, and groups of near copies cost pairs in proportion to their size.
+The global order of n-grams is their frequency class, rarest first, then their 64-bit hash. Classes come from a sketch
+of counts over all documents; a sketch only overestimates, and any order gives right results, so its errors cost
+candidates but no link. An n-gram whose cell counts one document is unique and meets nobody.
+
+Candidates. A set of n n-grams meets every partner of the wanted similarity in one of its first n - t n + 1 n-grams. Only
+these are dealt by n-gram; passages that many documents share come last in the order and seldom get there.
+
+Verification. The order is cut into fragments of about equal weight. A pair's overlaps are counted in each fragment on its
+own and summed for the pair.
+
+Groups. Equal sets are one class. In a bucket of one n-gram, members are first paired with a hub; frequent n-grams have
+several salted buckets with a hub each, and those are paired. Classes chained by buckets make a cluster. In a cluster, the
+members outside its commonest component are compared with all others of different components by parity bit maps, which
+only rule out pairs that cannot link: first to find the nearest one of each, then all. So no link between components is
+missed, and groups of near copies cost pairs in proportion to their size.
 """
 
 from __future__ import annotations
@@ -24,22 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, id_and_text, load, stage
+from .common import components, id_and_text, load, small, stage
 from .textvec import Words, distinct_per_row, mix, shingles, text_chunks
 
-GROWTH = 1.6
 SEGMENTS = 8
-
-
-def size_classes(limit: int = 1 << 40) -> np.ndarray:
-    """First size of each level."""
-    out = [1]
-    while out[-1] < limit:
-        out.append(max(out[-1] + 1, int(out[-1] * GROWTH)))
-    return np.array(out, dtype=np.int64)
+CELLS = 1 << 24  # of the sketch: one byte each when broadcast
+SLICES = 64
 
 
 def _differing(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -77,106 +70,147 @@ def _parity(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(base, bits.sum()) // 64, pa.int32()), pa.array(words))
 
 
+class _Met:
+    """Set classes that this task has met, at most a million of them; one that is forgotten is handled again."""
+
+    def __init__(self, limit: int = 1 << 20):
+        self.seen, self.limit = set(), limit
+
+    def fresh(self, classes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(classes), bool)
+        for i, x in enumerate(classes.tolist()):
+            if x not in self.seen:
+                out[i] = True
+                if len(self.seen) < self.limit:
+                    self.seen.add(x)
+        return out
+
+
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, size of the n-gram set, two digests and the parity bit map of it."""
+    """Two kinds of rows: of a document (doc_id, n-gram set size n, two digests c and d, parity bit map), and of a task's
+    sketch (part, slice, counts: packed unsigned 32-bit numbers of that slice of the cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, cells = _Met(), None
         for batch in batches:
             for a, b, rows, grams, sizes in _sets(batch.column(1), k):
-                d1, d2 = _digests(rows, grams, sizes)
+                c, d = _digests(rows, grams, sizes)
+                cells = np.zeros(CELLS, np.uint32) if cells is None else cells
+                np.add.at(cells, (grams[met.fresh(c)[rows]] & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+                none = pa.nulls(b - a, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(d1), pa.array(d2), _parity(rows, grams, sizes)],
-                    ["doc_id", "n", "c", "d", "parity"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, n long, c long, d long, parity array<long>")
-
-
-def _keys(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, take: np.ndarray, level: np.ndarray, percent: int, starts: np.ndarray):
-    """(row, key) of the documents ``take`` at their ``level``."""
-    top = starts[level + 1] - 1
-    cuts = _differing(top, top, percent) + 1
-    cuts = cuts + 3 + cuts // 32
-    own = _differing(sizes[take], sizes[take] * 100 // percent, percent)
-    of = np.full(len(sizes), -1)
-    of[take] = np.arange(len(take))
-    mine = of[rows] >= 0
-    doc, gram = of[rows[mine]], grams[mine]
-    fragment = ((gram >> np.uint64(32)) * cuts[doc].astype(np.uint64)) >> np.uint64(32)
-    fragment = fragment.astype(np.int64)
-    cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (fragment[1:] != fragment[:-1]))) if len(doc) else np.zeros(0, int)
-    digest = np.add.reduceat(mix(gram, 31), cut) if len(cut) else np.zeros(0, np.uint64)
-    doc, fragment = doc[cut], fragment[cut]
-    empty = cuts - np.bincount(doc, minlength=len(take))
-    sparse = np.flatnonzero(empty >= cuts - own)
-    for d in sparse:  # rare: keys of the empty segments too
-        missing = np.setdiff1d(np.arange(cuts[d]), fragment[doc == d])
-        doc, fragment = np.append(doc, np.full(len(missing), d)), np.append(fragment, missing)
-        digest = np.append(digest, np.zeros(len(missing), np.uint64))
-    key = mix(digest + mix((level[doc].astype(np.uint64) << np.uint64(40)) + fragment.astype(np.uint64), 32))
-    return take[doc], key
-
-
-def candidate_keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, c): the segment keys of every set class, once for each task that meets the class."""
-    starts = size_classes()
+                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(c), pa.array(d), _parity(rows, grams, sizes),
+                     none, none, pa.nulls(b - a, pa.binary())],
+                    ["doc_id", "n", "c", "d", "parity", "part", "slice", "counts"],
+                )
+        if cells is not None:
+            part = TaskContext.get().partitionId()
+            for s, counts in enumerate(cells.reshape(SLICES, -1)):
+                if counts.any():
+                    one = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+                    packed = pa.array([pa.compress(counts.tobytes(), "zstd", asbytes=True)], pa.binary())
+                    one += [pa.array([part], pa.int32()), pa.array([s], pa.int32()), packed]
+                    yield pa.RecordBatch.from_arrays(one, ["doc_id", "n", "c", "d", "parity", "part", "slice", "counts"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, c long, d long, parity array<long>, part int, slice int, counts binary")
+
+
+class Order:
+    """The global order of n-grams: frequency class of each cell, where its classes' fragments start, mean load of a cell."""
+
+    def __init__(self, sketch: DataFrame, hot: int):
+        """sketch: the (part, slice, counts) rows. They are summed slice by slice, 256 tasks' at a time first; one byte a
+        cell and one sum a slice and class reach the driver, whatever the input's size."""
+        self.hot, width = hot, CELLS // SLICES
+
+        def add(last: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sums: dict[tuple[int, int], np.ndarray] = {}
+                for batch in batches:
+                    for part, s, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                        kind = np.uint32 if not last else np.uint64
+                        one = np.frombuffer(pa.decompress(counts, width * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+                        key = (0 if last else part // 256, s)
+                        sums[key] = sums.get(key, 0) + one.astype(np.uint64)
+                for (part, s), total in sums.items():
+                    weight = b""
+                    if last:
+                        level = np.zeros(width, np.uint8)
+                        level[total > 1] = 1 + np.floor(2 * np.log2(total[total > 1])).astype(np.uint8)
+                        weight, total = np.bincount(level, total, 256).astype("<f8").tobytes(), level
+                    packed = pa.compress(total.tobytes(), "zstd", asbytes=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part], pa.int32()), pa.array([s], pa.int32()), pa.array([packed], pa.binary()), pa.array([weight], pa.binary())],
+                        ["part", "slice", "counts", "weight"],
+                    )
+
+            return run
+
+        kinds = "part int, slice int, counts binary, weight binary"
+        sums = sketch.withColumn("of", F.expr("part div 256")).repartition("of", "slice").drop("of").mapInArrow(add(False), kinds)
+        sums = sums.drop("weight").repartition("slice").mapInArrow(add(True), kinds)
+        self.level, weight = np.zeros(CELLS, np.uint8), np.zeros(256)
+        for r in sums.toLocalIterator():
+            self.level[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(pa.decompress(r["counts"], width, "zstd", asbytes=True), np.uint8)
+            weight += np.frombuffer(r["weight"], "<f8")
+        self.load = weight.sum() / CELLS
+        share = np.append(0, np.cumsum(weight)) / max(weight.sum(), 1)
+        self.cuts = np.interp(np.arange(1, SEGMENTS) / SEGMENTS, share, np.arange(257))
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        return self.level[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
+
+    def fragments(self, grams: np.ndarray) -> np.ndarray:
+        """The fragment of each n-gram: places in the order are class + hash / 2^64."""
+        return np.searchsorted(self.cuts, self.levels(grams) + grams / 2.0**64, side="right")
+
+    def salts(self, level: np.ndarray) -> np.ndarray:
+        """Buckets for n-grams of these classes: more than one where they occur far more often than a cell's mean load."""
+        most = 2.0 ** (np.minimum(np.arange(256), 100) / 2)
+        return np.maximum(1, np.ceil((most - self.load) / self.hot)).astype(np.int64)[level]
+
+
+def candidate_keys(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
+    """(key, salt, hot, c): first n-grams of every set class, once for each task that meets the class; order: a broadcast Order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met = _Met()
         for batch in batches:
             for _, _, rows, grams, sizes in _sets(batch.column(1), k):
                 c, _ = _digests(rows, grams, sizes)
-                fresh = np.zeros(len(sizes), bool)
-                for i, x in enumerate(c.tolist()):
-                    if x not in met:
-                        fresh[i] = True
-                        if len(met) < 1 << 20:
-                            met.add(x)
-                # a set that may differ in no n-gram from its partners has none but its own class
-                fresh &= (sizes > 0) & (_differing(sizes, sizes * 100 // percent, percent) > 0)
-                take = np.flatnonzero(fresh)
-                low = np.searchsorted(starts, sizes[take], side="right") - 1
-                high = np.searchsorted(starts, sizes[take] * 100 // percent, side="right") - 1
-                for t, level in ((take, low), (take[high > low], high[high > low])):
-                    row, key = _keys(rows, grams, sizes, t, level, percent, starts)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c[row])], ["key", "c"])
-
-    return docs.mapInArrow(run, "key long, c long")
-
-
-def _class_bits(classes: DataFrame, size: int) -> np.ndarray:
-    """Bit map of the hashes of the classes, size / 8 bytes at any size of input."""
-    words = classes.select(F.pmod("c", F.lit(size)).alias("bit")).groupBy(F.expr("bit div 64").alias("w"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
-    out = np.zeros(size // 64, np.int64)
-    for w, v in words.toLocalIterator():
-        out[w] = v
-    return out.view(np.uint8)
-
-
-def segments(docs: DataFrame, k: int, classes: DataFrame, size: int = 1 << 23) -> DataFrame:
-    """(c, n, fragment, grams): the segments in SEGMENTS fragments of the sets of the classes (and of some others)."""
-    bits = docs.sparkSession.sparkContext.broadcast(_class_bits(classes, size))
+                mine = met.fresh(c)[rows]
+                rows, grams = rows[mine], grams[mine]
+                level = order.value.levels(grams)
+                alone = np.bincount(rows[level == 0], minlength=len(sizes))  # they come first and meet nobody
+                left = sizes - -(-sizes * percent // 100) + 1 - alone
+                mine = (level > 0) & (left[rows] > 0)
+                rows, grams, level = rows[mine], grams[mine], level[mine]
+                at = np.argsort(rows * 256 + level, kind="stable")
+                rows, grams, level = rows[at], grams[at], level[at]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                mine = place < left[rows]
+                c, grams, salts = c[rows[mine]], grams[mine], order.value.salts(level[mine])
+                salt = (mix(c.view(np.uint64), 41) % salts.astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams.view(np.int64)), pa.array(salt), pa.array(salts > 1), pa.array(c)], ["key", "salt", "hot", "c"]
+                )
+
+    return docs.mapInArrow(run, "key long, salt int, hot boolean, c long")
+
+
+def segments(docs: DataFrame, k: int, order) -> DataFrame:
+    """(c, n, fragment, grams): the sets of the documents, cut at the fragments of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
         for batch in batches:
             for _, _, rows, grams, sizes in _sets(batch.column(1), k):
                 c, _ = _digests(rows, grams, sizes)
-                bit = np.mod(c, size)
-                want = (bits.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                for i in np.flatnonzero(want):
-                    if (x := int(c[i])) in met:
-                        want[i] = False
-                    elif len(met) < 1 << 20:
-                        met.add(x)
-                rows, grams = rows[want[rows]], grams[want[rows]]
-                if not len(rows):
-                    continue
-                part = rows * SEGMENTS + (grams >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64)
-                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                part = rows * SEGMENTS + order.value.fragments(grams)
+                at = np.argsort(part, kind="stable")
+                part, grams = part[at], grams[at]
+                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
                 values = pa.ListArray.from_arrays(pa.array(np.append(cut, len(part)).astype(np.int32)), pa.array(grams.view(np.int64)))
-                row = rows[cut]
+                row = part[cut] // SEGMENTS
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c[row]), pa.array(sizes[row]), pa.array((part[cut] % SEGMENTS).astype(np.int32)), values],
                     ["c", "n", "fragment", "grams"],
@@ -198,82 +232,99 @@ def _close(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return met.where(f"{differ} <= {may}").select("a", "b")
 
 
-def _compare(rows: dict[str, np.ndarray], parity: list[np.ndarray], crossed: bool, percent: int, nearest: bool):
-    """Pairs (a, b) of a cluster's rows in different components whose sizes and bit maps allow a link.
-
-    rows: c, label, n, side. nearest: only the closest such partner of every row.
-    """
-    order = np.argsort(rows["n"], kind="stable")
-    c, label, n, side = (rows[k][order] for k in ("c", "label", "n", "side"))
+def _compare(c, label, n, side, parity: list[np.ndarray], percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of different components whose sizes and bit maps allow a link: rows of side 0 with those of side 1,
+    or all rows where only side 0 is there. nearest: only the closest such partner of every row of side 0."""
+    order = np.argsort(n, kind="stable")
+    c, label, n, side = c[order], label[order], n[order], side[order]
     width = np.array([len(parity[i]) for i in order])
     at = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}  # runs, as width grows with n
     maps = {w: np.stack([parity[i] for i in order[ix]]).view(np.uint64) for w, ix in at.items()}
     folded = {w: m[:, : w // 2] ^ m[:, w // 2 :] for w, m in maps.items() if w > 1}
+    low = np.searchsorted(n, -(-n * percent // 100), side="left")
     top = np.searchsorted(n, n * 100 // percent, side="right")
-    best, partner = np.full(len(c), 1 << 40), np.full(len(c), -1)
+    crossed = side.any()
     out_a, out_b = [], []
-    for i in range(len(c)):
-        w = int(width[i])
-        own = maps[w][i - at[w][0]]
-        for other, matrix in ((w, maps[w]), (2 * w, folded.get(2 * w))):
+    for i in np.flatnonzero(side == 0):
+        w, own = int(width[i]), maps[int(width[i])][i - at[int(width[i])][0]]
+        best, partner = 1 << 40, -1
+        for other, matrix, probe in (
+            (w, maps[w], own),
+            (2 * w, folded.get(2 * w), own),
+            (w // 2, maps.get(w // 2) if w > 1 else None, own[: w // 2] ^ own[w // 2 :]),
+        ):
             if matrix is None:
                 continue
             first = at[other][0]
-            lo, hi = max(i + 1, first), min(int(top[i]), first + len(matrix))
+            lo, hi = max(int(low[i]), first), min(int(top[i]), first + len(matrix))
+            if not crossed and not nearest:
+                lo = max(lo, i + 1)
             if lo >= hi:
                 continue
-            differ = np.bitwise_count(matrix[lo - first : hi - first] ^ own).sum(1, dtype=np.int64)
-            ok = (differ <= _differing(n[i], n[lo:hi], percent)) & (label[lo:hi] != label[i])
+            ok = label[lo:hi] != label[i]
             if crossed:
-                ok &= side[lo:hi] != side[i]
+                ok &= side[lo:hi] == 1
             j = np.flatnonzero(ok)
+            differ = np.bitwise_count(matrix[lo - first : hi - first][j] ^ probe).sum(1, dtype=np.int64)
+            fits = differ <= _differing(n[i], n[lo + j], percent)
+            j, differ = j[fits] + lo, differ[fits]
             if not len(j):
                 continue
             if nearest:
-                d, j = differ[j], j + lo
-                closer = d < best[j]
-                best[j[closer]], partner[j[closer]] = d[closer], i
-                if d.min() < best[i]:
-                    best[i], partner[i] = d.min(), j[d.argmin()]
+                if differ.min() < best:
+                    best, partner = differ.min(), int(j[differ.argmin()])
             else:
                 out_a.append(np.full(len(j), i))
-                out_b.append(j + lo)
-    if nearest:
-        a = np.flatnonzero(partner >= 0)
-        b = partner[a]
-    else:
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+                out_b.append(j)
+        if partner >= 0:
+            out_a.append(np.array([i]))
+            out_b.append(np.array([partner]))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
     return np.minimum(c[a], c[b]), np.maximum(c[a], c[b])
 
 
-def _cluster_pairs(rows: DataFrame, percent: int, nearest: bool, block: int = 16384) -> DataFrame:
-    """(a, b) of _compare for every cluster of rows (cluster, c, label, n, parity); large clusters go in pairs of blocks."""
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "cluster").withColumn("side", F.expr("pmod(xxhash64(c), blocks)").cast("int"))
-    rows = rows.withColumn("other", F.explode_outer(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("cluster", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"), "side", "c", "label", "n", "parity")
+def _cluster_pairs(rows: DataFrame, percent: int, nearest: bool, block: int) -> DataFrame:
+    """(a, b) of _compare for every cluster of rows (cluster, c, label, n, parity) with more than one label.
+
+    The commonest label's rows of a cluster are its main part, the others are compared with them and with each other. Each
+    part is dealt into blocks, and a task compares two of them.
+    """
+    labels = rows.groupBy("cluster", "label").agg(F.count("*").alias("k"))
+    info = labels.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("main"), F.sum("k").alias("n_rows"))
+    info = info.where("main.k < n_rows").select(
+        "cluster", F.col("main.label").alias("main"),
+        F.ceil(F.col("main.k") / block).cast("int").alias("mains"),
+        F.ceil((F.col("n_rows") - F.col("main.k")) / block).cast("int").alias("minors"),
+    )
+    info = stage(info, "ngram-clusters")
+    mixed = rows.join(small(info), "cluster").withColumn("is_main", F.expr("label = main"))
+    mixed = mixed.withColumn("own", F.expr("cast(pmod(xxhash64(c), if(is_main, mains, minors)) as int)"))
+    with_main = "transform(sequence(1, mains), i -> named_struct('g1', -i, 'g2', own, 'side', 0))"
+    with_minor = "transform(sequence(0, minors - 1), j -> named_struct('g1', least(own, j), 'g2', greatest(own, j), 'side', if(own <= j, 0, 1)))"
+    as_main = "transform(sequence(0, minors - 1), j -> named_struct('g1', -1 - own, 'g2', j, 'side', 1))"
+    mixed = mixed.select("cluster", "c", "label", "n", "parity", F.explode(F.expr(f"if(is_main, {as_main}, concat({with_main}, {with_minor}))")).alias("g"))
+    mixed = mixed.select("cluster", "g.*", "c", "label", "n", "parity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            col = {k: t.column(k).to_numpy() for k in ("cluster", "b1", "b2", "side", "c", "label", "n")}
-            cut = np.flatnonzero((np.diff(col["cluster"]) != 0) | (np.diff(col["b1"]) != 0) | (np.diff(col["b2"]) != 0)) + 1
+            col = {k: t.column(k).to_numpy() for k in ("cluster", "g1", "g2", "side", "c", "label", "n")}
+            cut = np.flatnonzero((np.diff(col["cluster"]) != 0) | (np.diff(col["g1"]) != 0) | (np.diff(col["g2"]) != 0)) + 1
             parity = t.column("parity").combine_chunks()
             offsets, values = parity.offsets.to_numpy(), parity.values.to_numpy()
             for lo, hi in zip(np.append(0, cut), np.append(cut, t.num_rows), strict=True):
-                one = {k: col[k][lo:hi] for k in ("c", "label", "n", "side")}
                 maps = [values[offsets[i] : offsets[i + 1]] for i in range(lo, hi)]
-                a, b = _compare(one, maps, col["b1"][lo] != col["b2"][lo], percent, nearest)
+                a, b = _compare(*(col[k][lo:hi] for k in ("c", "label", "n", "side")), maps, percent, nearest)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             same = np.ones(t.num_rows, bool)
-            for k in ("cluster", "b1", "b2"):
+            for k in ("cluster", "g1", "g2"):
                 x = t.column(k).to_numpy()
                 same &= x == x[-1]
-            whole = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1  # rows before the last, maybe unfinished, cluster
+            whole = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1  # rows before the last, maybe unfinished, group
             held.append(t.slice(0, whole))
             if whole:
                 yield from work(pa.concat_tables(held))
@@ -282,64 +333,74 @@ def _cluster_pairs(rows: DataFrame, percent: int, nearest: bool, block: int = 16
         if held:
             yield from work(pa.concat_tables(held))
 
-    return rows.repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2").mapInArrow(run, "a long, b long")
+    return mixed.repartition("cluster", "g1", "g2").sortWithinPartitions("cluster", "g1", "g2").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that link: partial overlaps of equal fragments, summed."""
+    """Pairs (a, b) of classes that link: the overlaps in each fragment, summed."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    if pairs.count() <= 100_000:  # at most 1.6 MB; beyond that both sides are shuffled
-        parts = parts.join(F.broadcast(ids), "c", "left_semi")
+    parts = parts.join(small(ids), "c", "left_semi")
     one = parts.select(F.col("c").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
     two = parts.select(F.col("c").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
-    both = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    both = pairs.join(one, "a").join(two, ["b", "fragment"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
     total = both.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("i"))
     return total.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
 
 
-def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, nearest_turns: int = 2) -> DataFrame:
+def ngram_join(
+    docs: DataFrame, k: int = 4, percent: int = 85, nearest_turns: int = 2, hot: int = 4096, block: int = 4096
+) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: components of sets with 100 * overlap >= percent * union.
 
     Words are split at ASCII white space and lower-cased in A-Z; a text of fewer than k words is one n-gram. Null and
     empty texts have size 0 and link with nothing. A null doc_id links with nothing and has a null component_id. Rows
     repeating a doc_id count as one document with the union of their links. Empty tables give no rows. n-grams stand as
-    64-bit hashes of their words; classes as two of them.
+    64-bit hashes of their words; classes as two of them. hot: rows of a bucket and block: rows of a part of a cluster
+    beyond which it is dealt to several tasks; neither changes a result.
     """
     docs = id_and_text(docs)
-    seen = stage(describe(docs, k), "ngram-docs")
+    named = docs.where("doc_id IS NOT NULL")
+    described = stage(describe(docs, k), "ngram-docs")
+    seen = described.where("slice IS NULL").select("doc_id", "n", "c", "d", "parity")
+    order = docs.sparkSession.sparkContext.broadcast(Order(described.where("slice IS NOT NULL").select("part", "slice", "counts"), hot))
     known = seen.where("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("c", "d").agg(F.min("doc_id").alias("rep"))
-    per_key = Window.partitionBy("key")
+    bucket = Window.partitionBy("key", "salt")
+    hub = F.min(F.struct(F.xxhash64("c", F.pmod("key", F.lit(4))).alias("o"), F.col("c").alias("h"))).over(bucket)
     buckets = stage(
-        candidate_keys(docs.where("doc_id IS NOT NULL"), k, percent)
-        .select("key", "c", F.min("c").over(per_key).alias("lo"), F.max("c").over(per_key).alias("hi"))
-        .where("lo < hi").select("key", "c"),
+        candidate_keys(named, k, percent, order)
+        .select("key", "hot", "c", F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi"), hub.alias("hub"))
+        .where("hot OR lo < hi").select("key", "hot", "c", "lo", F.col("hub.h").alias("hub")),
         "ngram-buckets",
     )
-    wanted = buckets.select("c").distinct()
-    parts = segments(docs.where("doc_id IS NOT NULL"), k, wanted).join(wanted, "c", "left_semi")
+    # the buckets of a frequent n-gram: their first members are paired with the first of all
+    salted = buckets.where("hot").select("key", F.col("lo").alias("c")).distinct()
+    salted = salted.select(F.min("c").over(Window.partitionBy("key")).alias("a"), F.col("c").alias("b"))
+    chains = stage(buckets.select(F.col("lo").alias("a"), F.col("c").alias("b")).unionByName(salted).where("a != b").distinct(), "ngram-chains")
+    pairs = buckets.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).unionByName(salted)
+    tested = stage(pairs.where("a != b").distinct(), "ngram-pairs")
+    clusters = components(chains).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+    members = known.select("c", "n", "parity").join(small(clusters), "c").dropDuplicates(["c"])
+    members = stage(members, "ngram-members")
+    wanted = stage(classes.join(small(members.select("c")), "c", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "ngram-wanted")
+    parts = segments(named.join(small(wanted), "doc_id", "left_semi"), k, order)
     parts = stage(parts.dropDuplicates(["c", "fragment"]), "ngram-segments")
-    shapes = stage(known.join(wanted, "c", "left_semi").select("c", "n", "parity").dropDuplicates(["c"]), "ngram-shapes")
 
-    hub = F.min(F.struct(F.xxhash64("c", F.pmod("key", F.lit(4))).alias("o"), F.col("c").alias("h"))).over(per_key)
-    pairs = buckets.select("c", hub.alias("hub")).select(F.least("c", "hub.h").alias("a"), F.greatest("c", "hub.h").alias("b"))
-    tested = stage(pairs.where("a < b").distinct(), "ngram-pairs")
-    links = stage(_verify(stage(_close(tested, shapes, percent), "ngram-close"), parts, percent), "ngram-links")
-    chains = buckets.select(F.col("c").alias("a"), F.min("c").over(per_key).alias("b")).where("a != b").distinct()
-    clusters = components(chains).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
-    members = stage(clusters.join(shapes, "c"), "ngram-members")
+    links = stage(_verify(stage(_close(tested, members, percent), "ngram-close"), parts, percent), "ngram-links")
     labels = components(links)
     for nearest in [True] * nearest_turns + [False]:
-        left = members.join(labels, members.c == labels.node, "left").select("cluster", "c", F.coalesce("root", "c").alias("label"), "n", "parity")
-        mixed = left.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
-        found = _cluster_pairs(left.join(mixed, "cluster", "left_semi"), percent, nearest).distinct()
+        left = members.join(small(labels), members.c == labels.node, "left").select("cluster", "c", F.coalesce("root", "c").alias("label"), "n", "parity")
+        found = _cluster_pairs(left, percent, nearest, block).distinct()
         found = stage(found.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        if found.isEmpty():
+            continue
         new = stage(_verify(found, parts, percent), "ngram-links")
         tested = tested.unionByName(found)
-        if new.limit(1).count():
+        if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(links)
-    group = classes.join(labels, classes.c == labels.node, "left").select("c", "d", "rep", F.coalesce("root", "c").alias("root"))
+    group = classes.join(small(labels), classes.c == labels.node, "left").select("c", "d", "rep", F.coalesce("root", "c").alias("root"))
     least = group.groupBy("root").agg(F.min("rep").alias("component_id"))
     group = group.join(least, "root").select("c", "d", "component_id")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -177,8 +177,9 @@ def brute_sets(rows, k):
     return out
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_ngram_join_equals_brute_force(corpus, k, percent):
+@pytest.mark.parametrize(("k", "percent", "options"), [(4, 85, {}), (5, 80, {}), (3, 60, {"hot": 2, "block": 4, "nearest_turns": 1})])
+def test_ngram_join_equals_brute_force(corpus, k, percent, options):
+    """The third case has several buckets for an n-gram and several blocks for a cluster."""
     rows = [(r.doc_id, r.text) for r in corpus.collect()]
     sets = brute_sets(rows, k)
     low = {i: i for i in sets}
@@ -189,7 +190,7 @@ def test_ngram_join_equals_brute_force(corpus, k, percent):
             low[a] = low[b] = min(low[a], low[b])
         if low == before:
             break
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(corpus, k, percent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(corpus, k, percent, **options).collect()}
     assert links and got == {i: (len(s), low[i]) for i, s in sets.items()}
 
 
