@@ -1,20 +1,18 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is their frequency class, rarest first, then their 64-bit hash. Classes come from a sketch
-of counts over all documents; a sketch only overestimates, and any order gives right results, so its errors cost
-candidates but no link. An n-gram whose cell counts one document is unique and meets nobody.
-
-Candidates. A set of n n-grams meets every partner of the wanted similarity in one of its first n - t n + 1 n-grams. Only
-these are dealt by n-gram; passages that many documents share come last in the order and seldom get there.
-
-Verification. The order is cut into fragments of about equal weight. A pair's overlaps are counted in each fragment on its
-own and summed for the pair.
-
-Groups. Equal sets are one class. In a bucket of one n-gram, members are first paired with a hub; frequent n-grams have
-several salted buckets with a hub each, and those are paired. Classes chained by buckets make a cluster. In a cluster, the
-members outside its commonest component are compared with all others of different components by parity bit maps, which
-only rule out pairs that cannot link: first to find the nearest one of each, then all. So no link between components is
-missed, and groups of near copies cost pairs in proportion to their size.
+The order of n-grams is that of their 64-bit hashes; cutting it at even places gives fragments. A pair's overlaps are
+counted in each fragment on its own and summed for the pair.
+
+Candidates. In any fixed ranking of n-grams, a set of n of them meets every partner of the wanted similarity in one of its
+first n - t n + 1. The ranking is: n-grams of a part of the hash space by their number of sets, then the others, then
+very frequent ones as a sketch of counts over all documents tells them. Most sets have enough n-grams in that part, so
+they deal out only those; passages that many documents share rank late and seldom bring documents together.
+
+Groups. Equal sets are one class. In a bucket of one n-gram, members are first paired with a hub; very frequent n-grams
+have several salted buckets with a hub each, and those are paired. Classes chained by buckets make a cluster. In a
+cluster, the members outside its commonest component are compared with all others of different components by parity bit
+maps, which only rule out pairs that cannot link: first to find the nearest one of each, then all. So no link between
+components is missed, and groups of near copies cost pairs in proportion to their size.
 """
 
 from __future__ import annotations
@@ -31,8 +29,8 @@ from .common import components, id_and_text, load, small, stage
 from .textvec import Words, distinct_per_row, mix, shingles, text_chunks
 
 SEGMENTS = 8
-CELLS = 1 << 24  # of the sketch: one byte each when broadcast
-SLICES = 64
+CELLS = 1 << 22  # of the sketch: one byte each when broadcast
+SLICES = 16
 
 
 def _differing(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -88,15 +86,15 @@ class _Met:
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
     """Two kinds of rows: of a document (doc_id, n-gram set size n, two digests c and d, parity bit map), and of a task's
-    sketch (part, slice, counts: packed unsigned 32-bit numbers of that slice of the cells)."""
+    sketch (part, slice, counts: packed 64-bit numbers of sets in that slice of the cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, cells = _Met(), None
         for batch in batches:
             for a, b, rows, grams, sizes in _sets(batch.column(1), k):
                 c, d = _digests(rows, grams, sizes)
-                cells = np.zeros(CELLS, np.uint32) if cells is None else cells
-                np.add.at(cells, (grams[met.fresh(c)[rows]] & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+                cells = np.zeros(CELLS, np.int64) if cells is None else cells
+                np.add.at(cells, (grams[met.fresh(c)[rows]] & np.uint64(CELLS - 1)).astype(np.int64), 1)
                 none = pa.nulls(b - a, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(c), pa.array(d), _parity(rows, grams, sizes),
@@ -115,63 +113,57 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, c long, d long, parity array<long>, part int, slice int, counts binary")
 
 
-class Order:
-    """The global order of n-grams: frequency class of each cell, where its classes' fragments start, mean load of a cell."""
+class Ranks:
+    """Tiers of n-grams in the ranking: 0 for those of the first part of the hash space, 1 for the others, more for very
+    frequent ones: those whose cell of the sketch counts more than ``hot`` sets and eight times the mean."""
 
-    def __init__(self, sketch: DataFrame, hot: int):
+    def __init__(self, sketch: DataFrame, percent: int, hot: int):
         """sketch: the (part, slice, counts) rows. They are summed slice by slice, 256 tasks' at a time first; one byte a
-        cell and one sum a slice and class reach the driver, whatever the input's size."""
-        self.hot, width = hot, CELLS // SLICES
-
-        def add(last: bool):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                sums: dict[tuple[int, int], np.ndarray] = {}
-                for batch in batches:
-                    for part, s, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                        kind = np.uint32 if not last else np.uint64
-                        one = np.frombuffer(pa.decompress(counts, width * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
-                        key = (0 if last else part // 256, s)
-                        sums[key] = sums.get(key, 0) + one.astype(np.uint64)
-                for (part, s), total in sums.items():
-                    weight = b""
-                    if last:
-                        level = np.zeros(width, np.uint8)
-                        level[total > 1] = 1 + np.floor(2 * np.log2(total[total > 1])).astype(np.uint8)
-                        weight, total = np.bincount(level, total, 256).astype("<f8").tobytes(), level
-                    packed = pa.compress(total.tobytes(), "zstd", asbytes=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part], pa.int32()), pa.array([s], pa.int32()), pa.array([packed], pa.binary()), pa.array([weight], pa.binary())],
-                        ["part", "slice", "counts", "weight"],
-                    )
-
-            return run
-
-        kinds = "part int, slice int, counts binary, weight binary"
-        sums = sketch.withColumn("of", F.expr("part div 256")).repartition("of", "slice").drop("of").mapInArrow(add(False), kinds)
-        sums = sums.drop("weight").repartition("slice").mapInArrow(add(True), kinds)
-        self.level, weight = np.zeros(CELLS, np.uint8), np.zeros(256)
-        for r in sums.toLocalIterator():
-            self.level[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(pa.decompress(r["counts"], width, "zstd", asbytes=True), np.uint8)
-            weight += np.frombuffer(r["weight"], "<f8")
-        self.load = weight.sum() / CELLS
-        share = np.append(0, np.cumsum(weight)) / max(weight.sum(), 1)
-        self.cuts = np.interp(np.arange(1, SEGMENTS) / SEGMENTS, share, np.arange(257))
-
-    def levels(self, grams: np.ndarray) -> np.ndarray:
-        return self.level[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
-
-    def fragments(self, grams: np.ndarray) -> np.ndarray:
-        """The fragment of each n-gram: places in the order are class + hash / 2^64."""
-        return np.searchsorted(self.cuts, self.levels(grams) + grams / 2.0**64, side="right")
-
-    def salts(self, level: np.ndarray) -> np.ndarray:
-        """Buckets for n-grams of these classes: more than one where they occur far more often than a cell's mean load."""
-        most = 2.0 ** (np.minimum(np.arange(256), 100) / 2)
-        return np.maximum(1, np.ceil((most - self.load) / self.hot)).astype(np.int64)[level]
-
-
-def candidate_keys(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
-    """(key, salt, hot, c): first n-grams of every set class, once for each task that meets the class; order: a broadcast Order."""
+        cell reaches the driver, whatever the input's size."""
+        width = CELLS // SLICES
+        kinds = "part int, slice int, counts binary"
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for part, s, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    one = np.frombuffer(pa.decompress(counts, width * 8, "zstd", asbytes=True), np.int64)
+                    sums[part // 256, s] = sums.get((part // 256, s), 0) + one
+            for (part, s), total in sums.items():
+                packed = pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([s], pa.int32()), packed], ["part", "slice", "counts"])
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for s, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    one = np.frombuffer(pa.decompress(counts, width * 8, "zstd", asbytes=True), np.int64)
+                    sums[s] = sums.get(s, 0) + one
+            for s, total in sums.items():
+                tier = np.where(total > hot + 8 * total.mean(), 2 + np.floor(2 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
+                packed = pa.array([pa.compress(tier.tobytes(), "zstd", asbytes=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([s], pa.int32()), packed], ["part", "slice", "counts"])
+
+        sums = sketch.withColumn("of", F.expr("part div 256")).repartition("of", "slice").drop("of").mapInArrow(add, kinds)
+        self.tier = np.zeros(CELLS, np.uint8)
+        for r in sums.repartition("slice").mapInArrow(close, kinds).toLocalIterator():
+            self.tier[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(pa.decompress(r["counts"], width, "zstd", asbytes=True), np.uint8)
+        # a set needs 1 - t of its n-grams; the first part holds somewhat more
+        self.first = np.uint64((107 - percent) * 65536 // 100)
+        self.salts = np.maximum(1, np.ceil(2.0 ** np.clip((np.arange(256) - 1) / 2, 0, 50) / hot)).astype(np.int64)
+
+    def tiers(self, grams: np.ndarray) -> np.ndarray:
+        tier = self.tier[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
+        later = ((grams >> np.uint64(32)) & np.uint64(0xFFFF)) >= self.first
+        return np.where(tier == 0, later, tier).astype(np.int64)
+
+
+def candidate_keys(docs: DataFrame, k: int, percent: int, ranks) -> DataFrame:
+    """(key, slot, c, room): the n-grams that may be among a set class's first ones, once for each task that meets the class.
+
+    ranks: a broadcast Ranks. slot holds the tier and, above its lowest 8 bits, the salt of a frequent n-gram. room is the
+    number of n-grams that the class needs, less its n-grams of tier 0, for the others also less those of tier 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Met()
@@ -180,34 +172,46 @@ def candidate_keys(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
                 c, _ = _digests(rows, grams, sizes)
                 mine = met.fresh(c)[rows]
                 rows, grams = rows[mine], grams[mine]
-                level = order.value.levels(grams)
-                alone = np.bincount(rows[level == 0], minlength=len(sizes))  # they come first and meet nobody
-                left = sizes - -(-sizes * percent // 100) + 1 - alone
-                mine = (level > 0) & (left[rows] > 0)
-                rows, grams, level = rows[mine], grams[mine], level[mine]
-                at = np.argsort(rows * 256 + level, kind="stable")
-                rows, grams, level = rows[at], grams[at], level[at]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                mine = place < left[rows]
-                c, grams, salts = c[rows[mine]], grams[mine], order.value.salts(level[mine])
-                salt = (mix(c.view(np.uint64), 41) % salts.astype(np.uint64)).astype(np.int32)
+                tier = ranks.value.tiers(grams)
+                need = sizes - -(-sizes * percent // 100) + 1
+                first, second = (np.bincount(rows[tier == t], minlength=len(sizes)) for t in (0, 1))
+                mine = (tier == 0) | (first < need)[rows]
+                rows, grams, tier = rows[mine], grams[mine], tier[mine]
+                room = (need - first)[rows] - np.where(tier > 0, second[rows], 0)
+                c = c[rows]
+                salt = (mix(c.view(np.uint64), 41) % ranks.value.salts[tier].astype(np.uint64)).astype(np.int64)
+                salt[tier < 2] = 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.view(np.int64)), pa.array(salt), pa.array(salts > 1), pa.array(c)], ["key", "salt", "hot", "c"]
+                    [pa.array(grams.view(np.int64)), pa.array(tier + (salt << 8)), pa.array(c), pa.array(room)], ["key", "slot", "c", "room"]
                 )
 
-    return docs.mapInArrow(run, "key long, salt int, hot boolean, c long")
+    return docs.mapInArrow(run, "key long, slot long, c long, room long")
+
+
+def first_keys(keys: DataFrame) -> DataFrame:
+    """(key, slot, c) of candidate_keys that are among the first n-grams of their class in the ranking.
+
+    An n-gram of one class ranks first in its tier, brings nobody together and is left out here. Two windows: by n-gram,
+    whose rows are bounded as frequent ones are salted, and by class, bounded by a text's n-grams.
+    """
+    gram, of = Window.partitionBy("key", "slot"), Window.partitionBy("c")
+    tier = F.col("slot").bitwiseAND(255)
+    shared = keys.select("key", "slot", "c", "room", F.count("*").over(gram).alias("df"), F.min("c").over(gram).alias("lo"), F.max("c").over(gram).alias("hi"))
+    shared = shared.where((tier > 1) | (F.col("lo") < F.col("hi"))).select("key", "slot", "c", "room", F.when(tier < 2, F.col("df")).otherwise(0).alias("df"))
+    shared = shared.repartition("c").dropDuplicates(["c", "key"]).withColumn("tier", tier)
+    met = F.count(F.when(F.col("tier") == 0, 1)).over(of) + F.when(F.col("tier") > 0, F.count(F.when(F.col("tier") == 1, 1)).over(of)).otherwise(0)
+    place = F.row_number().over(of.orderBy("tier", "df", "key"))
+    return shared.withColumn("place", place - met).where("place <= room").select("key", "slot", "c")
 
 
-def segments(docs: DataFrame, k: int, order) -> DataFrame:
-    """(c, n, fragment, grams): the sets of the documents, cut at the fragments of the order."""
+def segments(docs: DataFrame, k: int) -> DataFrame:
+    """(c, n, fragment, grams): the sets of the documents, cut into fragments of the hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, rows, grams, sizes in _sets(batch.column(1), k):
                 c, _ = _digests(rows, grams, sizes)
-                part = rows * SEGMENTS + order.value.fragments(grams)
-                at = np.argsort(part, kind="stable")
-                part, grams = part[at], grams[at]
+                part = rows * SEGMENTS + (grams >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64)
                 cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
                 values = pa.ListArray.from_arrays(pa.array(np.append(cut, len(part)).astype(np.int32)), pa.array(grams.view(np.int64)))
                 row = part[cut] // SEGMENTS
@@ -363,14 +367,15 @@ def ngram_join(
     named = docs.where("doc_id IS NOT NULL")
     described = stage(describe(docs, k), "ngram-docs")
     seen = described.where("slice IS NULL").select("doc_id", "n", "c", "d", "parity")
-    order = docs.sparkSession.sparkContext.broadcast(Order(described.where("slice IS NOT NULL").select("part", "slice", "counts"), hot))
+    ranks = Ranks(described.where("slice IS NOT NULL").select("part", "slice", "counts"), percent, hot)
+    keys = candidate_keys(named, k, percent, docs.sparkSession.sparkContext.broadcast(ranks))
     known = seen.where("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("c", "d").agg(F.min("doc_id").alias("rep"))
-    bucket = Window.partitionBy("key", "salt")
+    bucket = Window.partitionBy("key", "slot")
     hub = F.min(F.struct(F.xxhash64("c", F.pmod("key", F.lit(4))).alias("o"), F.col("c").alias("h"))).over(bucket)
     buckets = stage(
-        candidate_keys(named, k, percent, order)
-        .select("key", "hot", "c", F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi"), hub.alias("hub"))
+        first_keys(keys)
+        .select("key", (F.col("slot").bitwiseAND(255) > 1).alias("hot"), "c", F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi"), hub.alias("hub"))
         .where("hot OR lo < hi").select("key", "hot", "c", "lo", F.col("hub.h").alias("hub")),
         "ngram-buckets",
     )
@@ -384,7 +389,7 @@ def ngram_join(
     members = known.select("c", "n", "parity").join(small(clusters), "c").dropDuplicates(["c"])
     members = stage(members, "ngram-members")
     wanted = stage(classes.join(small(members.select("c")), "c", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "ngram-wanted")
-    parts = segments(named.join(small(wanted), "doc_id", "left_semi"), k, order)
+    parts = segments(named.join(small(wanted), "doc_id", "left_semi"), k)
     parts = stage(parts.dropDuplicates(["c", "fragment"]), "ngram-segments")
 
     links = stage(_verify(stage(_close(tested, members, percent), "ngram-close"), parts, percent), "ngram-links")
