@@ -39,8 +39,11 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source weights 5, 2, 1: a row for every reading of a document, at most three."""
-    return mixing.mixed_documents(docs)
+    """The mix by source weights 5, 2, 1: a row for every reading of a document, at most three.
+
+    The order of shards and places isn't kept, as token files are in the order of doc_id.
+    """
+    return mixing.mixed_documents(docs).select(*COLUMNS)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
