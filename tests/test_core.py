@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def test_similar_groups(spark):
     df = spark.createDataFrame(rows, "query_id int, listing_id string, rank_in int, listing_text string")
     pairs = S.similar_pairs(df.where("listing_id != 'd'"), with_ratio=True)
     got = {(r.query_id, r.listing_id): (r.group_id, r.group_size, r.is_primary) for r in S.group_similar(df, pairs).collect()}
-    assert got[(1, "b")] == ("a", 2, False) or got[(1, "b")] == ("a", 3, False)
+    assert got[(1, "b")] == ("a", 2, False)
     assert got[(2, "a")] == ("a", 1, True)
 
 
@@ -131,7 +132,7 @@ def test_match_needs_local_descriptor(spark):
     rows = [("a", "patek 5711 blue new 100k"), ("b", "patek 5711 15202st blue"), ("c", "wtb 5711 blue"), ("d", "daytona panda"), ("e", "rm5712-g nice"), ("f", "5712G/1 white")]
     ls = spark.createDataFrame(rows, "listing_id string, listing_text string")
     got = {(r.query_id, r.listing_id) for r in M.match_listings(q, ls).collect()}
-    assert got == {(1, "a"), (2, "d"), (3, "f")} or got == {(1, "a"), (2, "d"), (3, "e"), (3, "f")}
+    assert got == {(1, "a"), (2, "d"), (3, "f")}
 
 
 def test_audit_rates_literal(spark):
@@ -165,9 +166,9 @@ def con(tiny):
 
 def canon(df):
     def text(x):
-        if x is None or x != x:
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return ""
-        if isinstance(x, (int, float)) and not isinstance(x, bool):
+        if pd.api.types.is_number(x) and not pd.api.types.is_bool(x):
             return repr(round(float(x), 9))
         return str(x).replace(" 00:00:00", "")
 
