@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import scratch
+from .suspicious import with_issues
 
 # What counts as a visible price, karat gold that does not, stock-list markers.
 PRICE_SEEN = (
@@ -16,8 +17,6 @@ PRICE_SEEN = (
 KARAT = r"(?i)\b(?:9|10|14|18|19|20|21|22|24)k\s+(?:(?:rose|yellow|white|pink)\s+)?gold\b"
 STOCK_LIST = r"(?i)\b(?:hk\s+)?stock\s+list\b|\bstocklist\b"
 SCOPE_SCORE = {"scope.full_listing": 2, "scope.scoped": 1, "scope.stock_list": 0}
-ENDS = r"(?i)(?:\b(?:hkd|usdt|usd|eur|aed|chf)|[$€£¥])\s*$"
-MARKER = r"(?i)\b(?:price|asking|only|@)\s*:?\s*$"
 
 
 def has_price(c: str | Column) -> Column:
@@ -65,30 +64,6 @@ def attribute_image(text: str, raw: str, image: str) -> Column:
     )
 
 
-def reference_only(c: str | Column) -> Column:
-    """A text that is one reference and nothing else."""
-    toks = T.tokens(c)
-    return (F.size(toks) == 1) & F.get(toks, F.lit(0)).rlike("[0-9]") & (F.length(F.get(toks, F.lit(0))) >= 4)
-
-
-def suspicious_issues(text: str, raw: str) -> Column:
-    """array<struct<reason, severity>>: the rules that a shown text breaks; the weaker rules only apply if none did."""
-    t, r = T.col(text), F.coalesce(T.col(raw), T.col(text))
-    issue = lambda name, severity: F.struct(F.lit(name).alias("reason"), F.lit(severity).alias("severity"))
-    longer = r != t
-    first = F.array_compact(
-        F.array(
-            F.when(t.rlike(ENDS), issue("ends_with_currency", 3)),
-            F.when(t.rlike(MARKER), issue("ends_with_price_marker", 3)),
-            F.when(longer & r.rlike(STOCK_LIST) & ~has_price(text) & has_price(r), issue("scoped_stock_list_missing_price", 2)),
-            F.when(reference_only(text), issue("reference_only_fragment", 2)),
-        )
-    )
-    much = F.length(r) >= F.greatest(F.length(t) + 40, F.floor(F.length(t) * 1.8))
-    second = F.when((F.size(first) == 0) & longer & much, F.array(issue("raw_much_longer", 2))).otherwise(first)
-    return F.when((F.size(second) == 0) & ~has_price(text), F.array(issue("missing_price_evidence", 1))).otherwise(second)
-
-
 def quality(issues: Column) -> tuple[Column, Column]:
     """(group, severity): 0 clean, 1 only the price is missing, 2 suspicious."""
     severity = F.coalesce(F.array_max(F.transform(issues, lambda i: i.severity)), F.lit(0))
@@ -146,7 +121,7 @@ def score_components(matches: DataFrame) -> DataFrame:
     refs, descs = T.parse_query_terms("query_text")
     words = T.canonical_tokens(T.tokens("listing_text"))
     q, seen = T.color_set("query_text"), T.color_set("listing_text")
-    out = matches.withColumn("issues", suspicious_issues("listing_text", "raw_listing_text"))
+    out = with_issues(matches, "listing_text", "raw_listing_text")
     return out.withColumns(
         {
             "quality_group": group, "severity": severity,

@@ -12,6 +12,7 @@ from ..operators import evidence as E
 from ..operators import issues as I
 from ..operators import match as M
 from ..operators import similar as S
+from ..operators.suspicious import with_issues
 from ..sources.views import duck, view
 from .registry import ORACLES, QUERIES
 
@@ -203,10 +204,28 @@ def p16_attribute_image(s, d):
     return listings(s, d).select("listing_id", E.attribute_image("listing_text", "listing_text", "image_url").alias("reason"))
 
 
-@query("""SELECT listing_id, CASE WHEN listing_text LIKE '%HKD%' THEN '' ELSE 'missing_price_evidence' END AS reasons, CAST(CASE WHEN listing_text LIKE '%HKD%' THEN 0 ELSE 1 END AS INT) AS severity FROM listings_v""", "listings_v")
+# eight ways to cut a post, by the listing's year: what is shown of it, the whole post, and the rule that this breaks
+_CUTS = """SELECT listing_id, year(posted_date) % 8 AS way, CASE WHEN listing_text LIKE '% HKD %' THEN 1 ELSE 0 END AS priced,
+    CASE WHEN listing_text LIKE '% HKD %' THEN substr(listing_text, 1, strpos(listing_text, ' HKD ') - 1) ELSE listing_text END AS bare,
+    listing_text FROM listings_v"""
+_SHOWN = """SELECT listing_id, way, priced, CASE way WHEN 0 THEN listing_text WHEN 1 THEN bare || ' mint HKD' WHEN 2 THEN bare || ' price' WHEN 3 THEN bare WHEN 4 THEN bare
+      WHEN 5 THEN split_part(listing_text, ' ', 2) WHEN 6 THEN bare WHEN 7 THEN 'wtb ' || bare END AS shown,
+    CASE way WHEN 3 THEN bare || ' USD 125,000' WHEN 4 THEN 'HK STOCK LIST ' || bare || ' | 15202st blue full set'
+      WHEN 6 THEN bare || ' with the box and all the papers, bought from the first owner, seen by a watchmaker' END AS raw FROM cuts"""
+
+
+@query(
+    f""", cuts AS ({_CUTS}), shown AS ({_SHOWN})
+SELECT listing_id, CASE WHEN way = 0 AND priced = 1 THEN '' WHEN way = 0 THEN 'missing_price_evidence' WHEN way = 1 THEN 'ends_with_currency'
+    WHEN way = 2 THEN 'ends_with_price_marker' WHEN way = 3 THEN 'missing_price_after_currency' WHEN way = 4 THEN 'scoped_stock_list_missing_price'
+    WHEN way = 5 THEN 'reference_only_fragment' WHEN way = 6 THEN 'raw_much_longer' ELSE '' END AS reasons,
+  CAST(CASE WHEN way = 0 THEN 1 - priced WHEN way IN (1, 2, 3) THEN 3 WHEN way = 7 THEN 0 ELSE 2 END AS INT) AS severity FROM shown""",
+    "listings_v",
+)
 def p17_suspicious_issues(s, d):
-    rows = listings(s, d).withColumn("raw", F.lit(None).cast("string")).withColumn("i", E.suspicious_issues("listing_text", "raw"))
-    return rows.select("listing_id", F.array_join("i.reason", ",").alias("reasons"), E.quality(F.col("i"))[1].alias("severity"))
+    cuts = s.sql(_CUTS.replace("strpos(listing_text, ' HKD ')", "position(' HKD ', listing_text)").replace("FROM listings_v", "FROM {rows}"), rows=view(s, d, "listings_v"))
+    rows = with_issues(s.sql(_SHOWN.replace("FROM cuts", "FROM {rows}"), rows=cuts), "shown", "raw")
+    return rows.select("listing_id", F.array_join("issues.reason", ",").alias("reasons"), E.quality(F.col("issues"))[1].alias("severity"))
 
 
 @query("""SELECT c_custkey, CASE WHEN length(p) BETWEEN 8 AND 15 AND p NOT LIKE '0%' THEN p END AS phone FROM (SELECT c_custkey, CAST(90000000 + c_custkey AS VARCHAR) AS p FROM customer)""")

@@ -15,6 +15,7 @@ from lotwise.operators import evidence as E
 from lotwise.operators import issues as I
 from lotwise.operators import match as M
 from lotwise.operators import similar as S
+from lotwise.operators.suspicious import with_issues
 from lotwise.plans import files, more  # noqa: F401  they register their queries
 from lotwise.plans.queries import ORACLES, QUERIES
 from lotwise.sources.views import view
@@ -118,11 +119,21 @@ def test_order_results_places_every_row_in_five_modes(spark):
         assert [got[i + 1] for i in range(len(got))] == [r[0] for r in sorted(rows, key=lambda r: (key(r), r[1], r[0]))]
 
 
+SUSPICIOUS = [
+    ("4821 blue HKD", None, "ends_with_currency"), ("4821 blue 90k HKD", None, ""), ("4821 blue USD HKD", None, "missing_price_evidence"),
+    ("4821 blue price", None, "ends_with_price_marker"), ("4821 blue 💰", None, "ends_with_price_marker"), ("4821 blue 90,000", None, ""),
+    ("4821 HKD new", "4821 HKD 90k new", ""), ("4821 blue HKD new", "4821 blue HKD 90k new", "missing_price_after_currency"), ("4821 new", "4821 new $95000", "missing_price_after_currency"),
+    ("4821 blue 90k", "4821 blue 90k " + "and much more text " * 5, ""), ("4821 blue", "4821 blue " + "and much more text " * 5, "raw_much_longer"),
+    ("4821 blue", "stock list 4821x blue 7790/2b red", "scoped_stock_list_missing_price"), ("Patek ref 4821/1A", None, "reference_only_fragment"),
+    ("wtb 4821/1A", None, ""), ("4821 18k rose gold", None, "missing_price_evidence"), ("no reference", None, ""), ("", "4821 HKD 90k", ""), (None, None, ""),
+]
+
+
 def test_suspicious_rules(spark):
-    cases = {"5711 blue HKD": "ends_with_currency", "5711/1A": "reference_only_fragment", "5711 blue nice": "missing_price_evidence", "5711 blue 800k": None}
-    for text, want in cases.items():
-        got = spark.createDataFrame([(text, None)], "t string, r string").select(E.suspicious_issues("t", "r").alias("i")).first().i
-        assert (want is None and not got) or got[0].reason == want, text
+    rows = [(i, t, r) for i, (t, r, _) in enumerate(SUSPICIOUS)]
+    got = with_issues(spark.createDataFrame(rows, "i int, t string, r string"), "t", "r").orderBy("i").collect()
+    assert [",".join(x.reason for x in r.issues) for r in got] == [w for _, _, w in SUSPICIOUS]
+    assert [r.t for r in got] == [t for t, _, _ in SUSPICIOUS]
     assert one(spark, "HK STOCK LIST 116505 5712g", E.scope_reason("t", "t")) == "scope.full_listing"
     assert one(spark, "18k gold 5711", E.has_price("t")) is False
 
