@@ -6,8 +6,6 @@ their token ids as Simple-8b words with block offsets (see simple8b). (part, seq
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,135 +17,53 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import id_and_text, load, shared_dir
+from .encoder import ChunkEncoder
+from .textvec import text_chunks
 
 SEGMENTS = (
     "part int, seq int, n_docs int, n_ids long, doc_ids binary, known binary, lengths binary, words binary, offsets binary"
 )
-_TIGHT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r", *"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　", *map(chr, range(0x2000, 0x200B)))
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
-def _visible() -> dict[int, str]:
-    """The byte-level alphabet: a byte that prints in Latin-1 stands for itself, the others take 256, 257, ... in turn."""
-    prints = [b for b in range(33, 256) if b < 127 or b > 160 and b != 173]
-    rest = (b for b in range(256) if b not in set(prints))
-    return {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-_VISIBLE = _visible()  # a blank reads as U+0120
-
-
-class UnitEncoder(dict):
-    """The library's ids of a text, put together from remembered units of text between single blanks.
-
-    Byte-level pre-tokenization never joins anything over a blank with other characters on both sides but the blank
-    itself to the word after it, so units encode alone; so do the two sides of a single line end. A word with trailing
-    marks is two pre-tokens, and the library's BPE model is asked for each. Texts with the special token's string or with
-    START go to the library whole. Keys are the unit's text after its blank, or START and the text of a unit without blank. A worker
-    remembers at most ``memory`` units and half as many words; others are encoded again when met again.
-    """
-
-    START = "\0"
-
-    def __init__(self, path: str, memory: int = 800_000):
-        super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.raw = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
-        self.words: dict[str, bytes] = {}
-        self.memory = memory
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _token(self, word: str) -> bytes:
-        """Ids of one pre-token."""
-        ids = self.words.get(word)
-        if ids is None:
-            if not word.isascii():
-                shown = word.encode().decode("latin-1").translate(_VISIBLE)
-            else:
-                shown = "\u0120" + word[1:] if word[0] == " " else word.translate(_VISIBLE)
-            raw = self.raw
-            ids = b"".join([raw[t.id] for t in self.model.tokenize(shown)])
-            if len(self.words) < self.memory // 2:
-                self.words[word] = ids
-        return ids
-
-    def __missing__(self, key: str) -> bytes:
-        core = key.rstrip(_MARKS)
-        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):  # so it has no START and no line end
-            ids = self._token(" " + core)
-            if len(core) != len(key):
-                ids += self._token(key[len(core) :])
-        else:
-            ids = self._other(key)
-        if len(self) < self.memory:
-            self[key] = ids
-        return ids
-
-    def _other(self, key: str) -> bytes:
-        """Ids of a unit that isn't a word after a blank."""
-        lead = key[:1] != self.START
-        body = key if lead else key[1:]
-        left, end, right = body.partition("\n")
-        if end and left and right and "\n" not in right and not left[-1].isspace() and not right[0].isspace():
-            return self[left if lead else self.START + left] + self._token("\n") + self[self.START + right]
-        core = left.rstrip(_MARKS)
-        if not lead and not end and core.isalpha() and core.isascii():
-            return self._token(core) + (self._token(left[len(core) :]) if len(core) != len(left) else b"")
-        return self.whole(" " + body if lead else body)
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        if self.START in text or any(s in text for s in self.special):
-            return self.whole(text)
-        pieces = _TIGHT.split(text) if any(x in text for x in _ODD) else text.split(" ")
-        pieces[0] = self.START + pieces[0]
-        return b"".join(map(self.__getitem__, pieces))
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
 
 
 def encode_segments(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 19) -> DataFrame:
     """Segments of all documents in ascending doc_id (null last, ties by text); each document ends with end_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = UnitEncoder(tokenizer)
-        enc = _ENCODERS[tokenizer]
+        if (tokenizer, end_id) not in _ENCODERS:
+            _ENCODERS[tokenizer, end_id] = ChunkEncoder(tokenizer, end_id)
+        enc = _ENCODERS[tokenizer, end_id]
         part, seq = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
-        docs_, parts, size = [], [], 0
+        docs_, held, lengths, size = [], [], [], 0  # of the segment under way: doc_ids, ids and their counts, piece by piece
 
         def flush():
-            lengths = np.array([len(p) // 4 for p in parts], dtype="<u4")
-            ids = np.frombuffer(b"".join(parts), dtype="<u4").astype(np.uint64)
+            sizes, ids = np.concatenate(lengths).astype("<u4"), np.concatenate(held).astype(np.uint64)
+            doc = pa.concat_arrays(docs_)
             words, offsets = simple8b.encode(ids)
             row = {
-                "part": [part], "seq": [seq], "n_docs": [len(docs_)], "n_ids": [len(ids)],
-                "doc_ids": [np.array([d or 0 for d in docs_], dtype="<i8").tobytes()],
-                "known": [np.array([d is not None for d in docs_], dtype="u1").tobytes()],
-                "lengths": [lengths.tobytes()], "words": [words.astype("<u8").tobytes()], "offsets": [offsets.astype("<u4").tobytes()],
+                "part": [part], "seq": [seq], "n_docs": [len(doc)], "n_ids": [len(ids)],
+                "doc_ids": [doc.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()],
+                "known": [doc.is_valid().to_numpy(zero_copy_only=False).astype("u1").tobytes()],
+                "lengths": [sizes.tobytes()], "words": [words.astype("<u8").tobytes()], "offsets": [offsets.astype("<u4").tobytes()],
             }
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for batch in batches:
-            doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(doc_ids), 500):
-                for d, text in zip(doc_ids[a : a + 500], column.slice(a, 500).to_pylist(), strict=True):
-                    ids = enc.encode(text or "")
-                    docs_.append(d)
-                    parts.append(ids + end)
-                    size += len(ids) // 4 + 1
+            for a, b, data, offsets in text_chunks(batch.column(1)):
+                ids, counts = enc.encode(data, offsets)
+                ends, done = np.cumsum(counts), 0  # done: documents of this chunk that are in a segment
+                while done < b - a:
+                    base = int(ends[done - 1]) if done else 0
+                    full = int(np.searchsorted(ends, base + segment_ids - size)) + 1  # with the document that fills the segment
+                    last = min(full, b - a)
+                    docs_.append(batch.column(0).slice(a + done, last - done))
+                    held.append(ids[base : ends[last - 1]])
+                    lengths.append(counts[done:last])
+                    size, done = size + int(ends[last - 1]) - base, last
                     if size >= segment_ids:
                         yield flush()
-                        docs_, parts, size, seq = [], [], 0, seq + 1
+                        docs_, held, lengths, size, seq = [], [], [], 0, seq + 1
         if docs_:
             yield flush()
 

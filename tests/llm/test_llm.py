@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, embeddings, language, licenses, mixing, ngram_join, quality, sharding, simple8b, substrings, tokens
+from lotwise.llm import decontaminate, embeddings, encoder, language, licenses, mixing, ngram_join, quality, sharding, simple8b, substrings, textvec, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -186,11 +186,31 @@ def test_token_index_equals_the_library(spark, corpus, awkward):
 
 
 def test_units_with_a_nul_equal_the_library():
-    enc = tokens.UnitEncoder(tokens.default_tokenizer())
+    enc = encoder.UnitEncoder(tokens.default_tokenizer())
     for text in ("x \0y", "\0y", "x y\0 z", "\0", "x \0 y", "x \0\0y\n\0z"):
         assert enc.encode(text) == np.array(enc.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_chunks_equal_the_library():
+    """Random texts of letters, marks, scripts, digits and all kinds of white space, with a small and a large memory."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    pieces = ["word", "Wort,", "été.", "naïve!!", "ß", "x\ny", "end.\nNew", "\n", "\n\n", " ", "  ", "\t", "it's", "'s", "12.50", "a1b2", "…", "“quote”", "слово",
+              "語", "🙂", "\u00a0", "\u2003", "\u3000", "\0", "<|endoftext|>", "_", "x_", "--", "×", "é×.", "\r\n", "don't.", "(ok)", "ʼ", "ŉ.", "\x85", "\x1c"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(9))) for _ in range(4000)]
+    texts += [None, "", " ", "\n", "a", "\na", "a\n", " a", "a "]
+    for memory in (50, 100_000):
+        enc = encoder.ChunkEncoder(tokens.default_tokenizer(), 2, memory)
+        for _ in range(2):
+            for a, _, data, offsets in textvec.text_chunks(pa.array(texts), 5000):
+                ids, counts = enc.encode(data, offsets)
+                ends = np.cumsum(counts)
+                for i, (end, n) in enumerate(zip(ends, counts, strict=True)):
+                    want = enc.units.tok.encode(texts[a + i] or "", add_special_tokens=False).ids
+                    assert ids[end - n : end].tolist() == [*want, 2], texts[a + i]
+
+
 def brute_sets(rows, k):
     out = {}
     for i, t in rows:
