@@ -5,7 +5,8 @@ cells of width CELL and the last one is sorted; two vectors collide in a group i
 the query-centred window of each other on the sorted line. Collisions are counted over all groups. For a pair exactly
 at the threshold the count is binomial, so the number of groups and the least count are calibrated to the wanted
 recall; pairs that reach the count are verified by their cosine in double precision. The number of lines in a group
-grows with the logarithm of the rows, which keeps chance collisions of a vector in a group at a small constant.
+grows with the logarithm of the rows, which keeps chance collisions of a vector in a group at a small constant. Equal
+vectors are one class, which is sent on once with its number of vectors.
 
 Every vector is sent to one sorted run for each group, and a pair is judged where it collides first, so links are
 counted once without ever listing pairs. Cells of more than ``block`` rows are split into blocks, and pairs of blocks
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, load, ship, stage
+from .common import components, load, ship, small, stage
 from .textvec import mix
 
 CELL = 2.0
@@ -79,8 +80,9 @@ def _local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _judge(plan: Plan, key, proj, side, group, ids, unit):
-    """(ids, links, root ids) of linked vectors of complete cells, sorted by cell and place on the line."""
+def _judge(plan: Plan, key, proj, side, group, ids, weight, unit):
+    """(ids, links, root ids) of linked classes of complete cells, sorted by cell and place on the line; weight: vectors of
+    each class, which its partners count as links."""
     found_a, found_b = [], []
     pair_block = group["b1"] != group["b2"]
     for step in range(1, len(key)):
@@ -112,7 +114,7 @@ def _judge(plan: Plan, key, proj, side, group, ids, unit):
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
     roots = _local_roots(rank[x], rank[y], len(used))
-    links = np.bincount(np.append(x, y), minlength=len(used))
+    links = np.bincount(np.append(x, y), weight[used][np.append(y, x)], len(used)).astype(np.int64)
     some = np.flatnonzero(links)
     return ids[used][some], links[some], ids[used][order][roots[rank[some]]]
 
@@ -133,7 +135,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     number = "<f4" if single else "<f8"
     known = rows.where("vec_id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
     known = known.groupBy("vec_id").agg(F.min("v").alias("v")).where("exists(v, x -> x != 0)")
+    known = known.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
     known = stage(known, "vectors")
+    # a third of all vectors may be equal: classes by two hashes, counted before they are shuffled
+    hashes = known.select("vec_id", "h1", "h2")
+    copies = hashes.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    copies = stage(copies, "vector-copies")
+    members = hashes.join(small(copies), ["h1", "h2"]).select(F.col("vec_id").alias("member"), "rep", "n")
+    others = members.where("member != rep").select(F.col("member").alias("vec_id"))
+    sizes_of = copies.select(F.col("rep").alias("vec_id"), "n")
+    known = known.select("vec_id", "v").join(small(others), "vec_id", "left_anti").join(small(sizes_of), "vec_id", "left")
+    known = stage(known.select("vec_id", "v", F.coalesce("n", F.lit(1)).alias("n")), "vector-classes")
     sizes = {r[0]: r[1] for r in known.groupBy(F.size("v")).count().orderBy(F.desc("count")).limit(1001).collect()}
     if len(sizes) > 1000:
         raise ValueError("more than 1000 different dimensions")
@@ -147,7 +159,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(1).to_pylist()
+            lists, weight = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
             dims = np.array([len(x) for x in lists])
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
@@ -158,26 +170,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
                     g = np.arange(key.shape[1], dtype=np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.ravel()), pa.array(proj.ravel()), pa.array(np.tile(g, len(part))), pa.array(np.repeat(ids[part], len(g))),
-                         pa.array([r for r in raw for _ in g], pa.binary())],
-                        ["key", "proj", "g", "vec_id", "raw"],
+                         pa.array(np.repeat(weight[part], len(g))), pa.array([r for r in raw for _ in g], pa.binary())],
+                        ["key", "proj", "g", "vec_id", "n", "raw"],
                     )
 
-    placed = known.mapInArrow(spread, "key long, proj double, g int, vec_id long, raw binary")
+    placed = known.mapInArrow(spread, "key long, proj double, g int, vec_id long, n long, raw binary")
     hot = placed.select("key").groupBy("key").count().where(F.col("count") > block)
     hot = stage(hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot-cells")
     one = F.lit(0).alias("b1"), F.lit(0).alias("b2"), F.lit(0).alias("side")
     if hot.limit(1).count():
         placed = placed.join(hot, placed.key == hot.hot_key, "left").withColumn("side", F.expr("pmod(xxhash64(vec_id), coalesce(blocks, 1))").cast("int"))
         placed = placed.withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
-        placed = placed.select("key", "proj", "g", "vec_id", "raw", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"), "side")
+        placed = placed.select("key", "proj", "g", "vec_id", "n", "raw", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"), "side")
     else:
-        placed = placed.select("key", "proj", "g", "vec_id", "raw", *one)
+        placed = placed.select("key", "proj", "g", "vec_id", "n", "raw", *one)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def work(table: pa.Table):
-            col = {n: table.column(n).to_numpy() for n in ("key", "proj", "g", "vec_id", "b1", "b2", "side")}
+            col = {n: table.column(n).to_numpy() for n in ("key", "proj", "g", "vec_id", "n", "b1", "b2", "side")}
             raw = table.column("raw").to_pylist()
             lens = np.array([len(r) for r in raw])
             cell = np.cumsum(np.append(0, (np.diff(col["key"]) != 0) | (np.diff(col["b1"]) != 0) | (np.diff(col["b2"]) != 0)))
@@ -186,7 +198,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
                 mine = np.flatnonzero((lens == size) & ~lonely)
                 got = _judge(
                     plans.value[int(size) // np.dtype(number).itemsize], cell[mine], col["proj"][mine], col["side"][mine],
-                    {k: col[k][mine] for k in ("g", "b1", "b2")}, col["vec_id"][mine], units([raw[i] for i in mine]),
+                    {k: col[k][mine] for k in ("g", "b1", "b2")}, col["vec_id"][mine], col["n"][mine], units([raw[i] for i in mine]),
                 )
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["vec_id", "links", "root"])
@@ -212,13 +224,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
 
     found = placed.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2", "proj", "vec_id")
     found = stage(found.mapInArrow(judge, "vec_id long, links long, root long"), "vector-links")
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    links = found.groupBy(F.col("vec_id").alias("linked")).agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    return (
-        rows.select("vec_id").join(links, "vec_id", "left").join(groups, F.col("vec_id") == F.col("node"), "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    )
+    out = rows.select("vec_id").join(small(members), F.col("vec_id") == F.col("member"), "left").withColumn("of", F.coalesce("rep", "vec_id"))
+    out = out.join(small(links), F.col("of") == F.col("linked"), "left").join(small(groups), F.col("of") == F.col("node"), "left")
+    return out.select(
+        "vec_id", F.expr("CAST(coalesce(links, 0) + coalesce(n, 1) - 1 AS BIGINT)").alias("n_links"), F.coalesce("root", "of").alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,6 +290,21 @@ def test_near_vectors_equal_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(1000, 1006)) and not got[None].kept
 
 
+def test_equal_vectors_are_one_class(spark):
+    """A third of the vectors are equal, some others near them; every link counts."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 16))
+    x[::3] = x[0]
+    x[1:61:3] = x[0] + rng.normal(size=(20, 16)) * 0.05
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = [int((unit @ unit[i] >= 0.95).sum()) - 1 for i in range(9000)]
+    assert all(got[i].n_links <= want[i] for i in range(9000)) and sum(got[i].n_links for i in range(9000)) >= 0.99 * sum(want)
+    assert all(got[i].n_links == want[i] for i in range(0, 9000, 3)) and {got[i].component_id for i in [*range(0, 9000, 3), *range(1, 61, 3)]} == {0}
+    assert not got[3].kept and got[0].kept
+
+
 def test_leaks_are_found_and_clean_texts_left(spark, corpus):
     rng = random.Random(9)
     items = [" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.choice([12, 25, 40]))) for _ in range(20)]
