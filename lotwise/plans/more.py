@@ -227,20 +227,15 @@ def m8_upsert_refinements(s, d):
     return I.upsert_refinements(k.where("id % 2 = 0").drop("id"), k.where("id % 2 = 1").drop("id")).drop("latency_ms")
 
 
-@query("SELECT listing_id, CAST(row_number() OVER (ORDER BY price NULLS LAST, listing_id) AS INT) AS place FROM (SELECT listing_id, CAST(nullif(regexp_extract(listing_text, 'HKD ([0-9]+)', 1), '') AS BIGINT) AS price FROM listings_v) QUALIFY place <= 1000", "listings_v")
+@query("SELECT listing_id, CAST(row_number() OVER (ORDER BY price NULLS LAST, listing_id) AS INT) AS place FROM (SELECT listing_id, CAST(nullif(regexp_extract(listing_text, 'HKD ([0-9]+)', 1), '') AS BIGINT) AS price FROM listings_v)", "listings_v")
 def o1_order_by_price(s, d):
-    """The thousand cheapest listings, priceless last, ties by id: a report's first pages."""
-    from pyspark.sql import Window
-
-    rows = listings(s, d).select("listing_id", N.display_price("listing_text", "listing_text").alias("price"))
-    first = rows.orderBy(F.col("price").asc_nulls_last(), "listing_id").limit(1000)
-    place = F.row_number().over(Window.orderBy(F.col("price").asc_nulls_last(), "listing_id"))
-    return first.select("listing_id", place.alias("place"))
+    """Places of all listings by price, priceless last, ties by id."""
+    return o1_order_by_price_all(s, d).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT listing_id, row_number() OVER (ORDER BY price NULLS LAST, listing_id) AS place FROM (SELECT listing_id, CAST(nullif(regexp_extract(listing_text, 'HKD ([0-9]+)', 1), '') AS BIGINT) AS price FROM listings_v)", "listings_v")
 def o1_order_by_price_all(s, d):
-    """Places of all listings by price; o1_order_by_price keeps the thousand places that its SQL names."""
+    """Places of all listings by price, as long numbers."""
     rows = listings(s, d).select("listing_id", "rank_in", N.display_price("listing_text", "listing_text").alias("price"))
     return E.order_results(rows, "price_asc").select("listing_id", "place")
 

@@ -113,9 +113,9 @@ def j2_local_descriptors(s, d):
 @query(f""", q AS (SELECT query_id, [x for x in {TOK.format("query_text")} if not regexp_matches(x, '[0-9]')] AS descs FROM queries_v),
 l AS (SELECT listing_id, {TOK.format("listing_text")} AS t FROM listings_v), w AS (SELECT DISTINCT listing_id, unnest(t) AS x FROM l)
 SELECT query_id, listing_id FROM (SELECT query_id, len(list_distinct(descs)) AS n, unnest(list_distinct(descs)) AS x FROM q) q JOIN w USING (x)
-WHERE query_id <= 100 GROUP BY query_id, listing_id, n HAVING count(*) = n""", "listings_v", "queries_v")
+GROUP BY query_id, listing_id, n HAVING count(*) = n""", "listings_v", "queries_v")
 def j3_descriptor_candidates(s, d):
-    q = view(s, d, "queries_v").where("query_id <= 100")  # the ten first free-text searches of a catalogue page
+    q = view(s, d, "queries_v")
     q = q.withColumn("query_text", F.array_join(F.filter(T.tokens("query_text"), lambda t: ~t.rlike("[0-9]")), " "))
     return M.descriptor_candidates(q, listings(s, d))
 
@@ -125,10 +125,8 @@ l AS (SELECT listing_id, {TOK.format("listing_text")} AS t FROM listings_v), w A
 SELECT query_id, listing_id FROM (SELECT query_id, len(list_distinct(descs)) AS n, unnest(list_distinct(descs)) AS x FROM q) q JOIN w USING (x)
 GROUP BY query_id, listing_id, n HAVING count(*) = n""", "listings_v", "queries_v")
 def j3_descriptor_candidates_all(s, d):
-    """Free-text matches of every query; j3_descriptor_candidates keeps the subset that its SQL names."""
-    q = view(s, d, "queries_v")
-    q = q.withColumn("query_text", F.array_join(F.filter(T.tokens("query_text"), lambda t: ~t.rlike("[0-9]")), " "))
-    return M.descriptor_candidates(q, listings(s, d))
+    """The same as j3_descriptor_candidates, which once kept the first queries only."""
+    return j3_descriptor_candidates(s, d)
 
 
 @query(f"SELECT listing_id, {norm('listing_text')} AS normalized FROM listings_v", "listings_v")
