@@ -59,7 +59,7 @@ STAGES = [
     ("token_ids", write_token_ids),
 ]
 
-#: SQL expresses neither the classifier nor the tokenizer; tests/llm checks the stages against brute force.
+#: SQL expresses neither the classifier nor the tokenizer; tests/llm checks the operators on their own and the stages' counts.
 ORACLE_SQL = None
 
 
