@@ -31,6 +31,7 @@ def product_references(c: str) -> Column:
 def product_prices(c: str) -> Column:
     """Distinct compact spellings of the amounts with a currency, thousands groups or k/m."""
     cur = T.CURRENCIES
+    # The amounts that count as a product's price here.
     rx = (
         rf"(?:[$€£¥]\s*[0-9]+(?:[,\s.][0-9]+)*[km]?\s*(?:{cur})?|\b(?:{cur})\s*(?:[0-9]{{3,}}(?:[,\s.][0-9]+)*[km]?|[0-9]+(?:\.[0-9]+)?[km])"
         rf"|\b[0-9]{{1,3}}(?:[,\s.][0-9]{{3}})+(?:\.[0-9]+)?\s*(?:{cur})?\b|\b[0-9]+(?:\.[0-9]+)?[km]\b)"

@@ -68,7 +68,7 @@ def test_small_text_functions(spark):
 
 
 def test_dedupe_latest_keeps_newer_in_first_place(spark):
-    rows = [(1, "6159G New 4/2025 $888,000 HKD", "s", "2026-05-08"), (2, "6159G New 4/2025 888 000 HKD", "s", "2026-05-09"), (3, "6159G 900k", "s", None)]
+    rows = [(1, "7284H New 3/2023 $777,000 HKD", "s", "2026-05-08"), (2, "7284H New 3/2023 777 000 HKD", "s", "2026-05-09"), (3, "7284H 910k", "s", None)]
     df = spark.createDataFrame(rows, "rank_in int, listing_text string, seller string, d string").withColumn("posted_date", F.to_date("d"))
     got = {(r.rank_in, r.slot) for r in D.dedupe_latest(df).collect()}
     assert (3, 3) in got and len(got) == 2

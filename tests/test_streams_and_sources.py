@@ -56,22 +56,22 @@ def test_dedupe_stream_keeps_each_key_once(spark, events, tmp_path):
 
 
 def test_json_and_nested_listings(spark):
-    item = {"title": "5712G Used 2015 - 76k usdt", "companyName": "Shop", "number": 7, "createdOn": "2026-06-02T01:02:03", "phoneNumber": "+852 9123 4567", "dialColor": "blue",
-            "frontImage": "p.jpg", "listings": [{"title": "5712G Used 2015 - 76k usdt"}, {"title": "5711 new", "dialColor": "black"}, {"title": "5990", "dialColor": "Blue"}]}
+    item = {"title": "4408R Used 2012 - 81k usdt", "companyName": "Shop", "number": 7, "createdOn": "2026-06-02T01:02:03", "phoneNumber": "+852 9123 4567", "dialColor": "blue",
+            "frontImage": "p.jpg", "listings": [{"title": "4408R Used 2012 - 81k usdt"}, {"title": "5711 new", "dialColor": "black"}, {"title": "5990", "dialColor": "Blue"}]}
     rows = [(1, json.dumps({"listings": [item, item, "text"]})), (2, "[not json"), (3, json.dumps([{"title": "a"}])), (4, None), (5, "plain")]
     items = P.listings_from_json(spark.createDataFrame(rows, "page_id int, body string"))
     got = {r.listing_text: r for r in items.collect()}
-    first = got["5712G Used 2015 - 76k usdt"]
+    first = got["4408R Used 2012 - 81k usdt"]
     assert (first.posted_date, first.source_url, first.seller_phone) == ("June 2, 2026", "/flash-sales/7", "85291234567") and "a" in got
     nested = {r.listing_text: r.image_url for r in P.explode_nested(items).where("nested_no >= 0").collect()}
     assert nested == {"black 5711 new": None, "Blue 5990": "p.jpg"}
 
 
 def test_segments_of_a_stock_list(spark):
-    text = "HK STOCK LIST 116505 rainbow 284k 5712g new 2024 -> 115k 5726/1A used 2022 68k"
+    text = "HK STOCK LIST 228345 arabic 312k 4408r new 2021 -> 97k 6102/1B used 2019 54k"
     rows = P.split_at_references(spark.createDataFrame([(1, text), (2, "one 5711 only"), (3, None)], "id int, t string"), "id", "t").orderBy("id", "item_no").collect()
     parts = [r.listing_text for r in rows if r.id == 1]
-    assert [p.split()[0] for p in parts] == ["116505", "5712g", "5726/1A"] and [r.listing_text for r in rows if r.id == 2] == ["one 5711 only"]
+    assert [p.split()[0] for p in parts] == ["228345", "4408r", "6102/1B"] and [r.listing_text for r in rows if r.id == 2] == ["one 5711 only"]
 
 
 def test_query_list_and_audit_files(spark, tmp_path):
