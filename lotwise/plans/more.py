@@ -264,17 +264,40 @@ def t2_latest(s, d):
     return J.stream_latest(table(s, d, "events"), ["user_id"], "ts", "event_type")
 
 
-@query()
+# an event is rejected while the third latest accepted one is less than a day old, which then blocks its user for two days
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+steps AS (
+  SELECT user_id, event_id, n, TRUE AS accepted, t AS a1, CAST(NULL AS BIGINT) AS a2, CAST(NULL AS BIGINT) AS a3, CAST(NULL AS BIGINT) AS until FROM o WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, n, ok, CASE WHEN ok THEN t ELSE a1 END, CASE WHEN ok THEN a1 ELSE a2 END, CASE WHEN ok THEN a2 ELSE a3 END,
+         CASE WHEN full_ AND NOT shut THEN t + 172800000000 ELSE until END
+  FROM (SELECT *, NOT shut AND NOT full_ AS ok FROM (
+    SELECT o.user_id, o.event_id, o.n, o.t, a1, a2, a3, until, coalesce(o.t < until, FALSE) AS shut, coalesce(a3 > o.t - 86400000000, FALSE) AS full_
+    FROM steps s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1)))
+SELECT user_id AS key, event_id, accepted FROM steps
+""")
 def t4_rate_limit(s, d):
     return J.batch_rate_limit(table(s, d, "events"), limit=3, per=86_400, block=172_800)
 
 
-@query()
+PASSES = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts FROM events WHERE {which}),
+p AS (
+  SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id
+  UNION ALL
+  SELECT p.user_id, min(e.ts) FROM p JOIN e ON e.user_id = p.user_id AND e.ts >= p.ts + INTERVAL 30 MINUTE GROUP BY p.user_id),
+first AS (SELECT e.user_id, min(e.event_id) AS event_id FROM p JOIN e USING (user_id, ts) GROUP BY e.user_id, ts)
+SELECT e.user_id AS key, e.event_id, {column} FROM e LEFT JOIN first f ON f.user_id = e.user_id AND f.event_id = e.event_id
+"""
+
+
+@query(PASSES.format(which="event_type = 'error'", column="f.event_id IS NOT NULL AS passed"))
 def t5_alert_throttle(s, d):
     return J.batch_throttle(table(s, d, "events").where("event_type = 'error'"))
 
 
-@query()
+@query(PASSES.format(which="TRUE", column="f.event_id IS NULL AS served"))
 def t6_repeat_queries(s, d):
     return J.batch_throttle(table(s, d, "events")).select("key", "event_id", (~F.col("passed")).alias("served"))
 

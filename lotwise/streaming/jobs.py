@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -96,15 +99,62 @@ def stream_rate_limit(events: DataFrame, key: str = "user_id", limit: int = 60,
     )
 
 
+def _quiet_runs(events: DataFrame, key: str, reset: int, grain: int = 64) -> DataFrame:
+    """Rows (key, event_id, at, run) dealt by (key, run) and sorted in time: at in microseconds, run numbers the stretches
+    of a key between pauses of at least ``reset`` seconds, over which no rule carries its state.
+
+    Pauses are looked for between the stretches of ``grain * reset`` seconds that have events, one row each, so finding
+    them costs a key a row for each stretch of time and not for each event. A busy key is cut wherever it pauses there.
+    """
+    rows = events.select(F.col(key).alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    rows = rows.withColumn("slot", F.floor(F.col("at") / (grain * reset * 1_000_000)))
+    slots = rows.groupBy("key", "slot").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    order = Window.partitionBy("key").orderBy("slot")
+    fresh = F.coalesce(F.col("first") - F.lag("last").over(order) >= reset * 1_000_000, F.lit(True)).cast("int")
+    runs = slots.withColumn("fresh", fresh).select(F.col("key").alias("k"), F.col("slot").alias("s"), F.sum("fresh").over(order).alias("run"))
+    out = rows.join(runs, F.col("key").eqNullSafe(F.col("k")) & F.col("slot").eqNullSafe(F.col("s"))).select("key", "event_id", "at", "run")
+    return out.repartition("key", "run").sortWithinPartitions("key", "run", "at", "event_id")
+
+
+def _by_runs(runs: DataFrame, start: Callable, column: str) -> DataFrame:
+    """(key, event_id, column) by a rule over sorted runs; start() gives a run's rule, which maps the times of each batch.
+
+    Only the rule's state lives from batch to batch, so a run of any length needs a batch's memory. Events without a
+    time are refused and leave no trace.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rule = None, None
+        for batch in batches:
+            keys, at, run = (batch.column(c).fill_null(0).to_numpy() for c in ("key", "at", "run"))
+            null, timed = batch.column("key").is_null().to_numpy(zero_copy_only=False), batch.column("at").is_valid().to_numpy(zero_copy_only=False)
+            verdict = np.zeros(len(run), bool)
+            other = (run[1:] != run[:-1]) | (null[1:] != null[:-1]) | (keys[1:] != keys[:-1])
+            cuts = [0, *(np.flatnonzero(other) + 1).tolist(), len(run)]
+            for a, b in pairwise(cuts):
+                if a == b:
+                    continue
+                if (here := (null[a], keys[a], run[a])) != current:
+                    current, rule = here, start()
+                if timed[a]:  # events without a time share a run of their own
+                    verdict[a:b] = rule(at[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("event_id"), pa.array(verdict)], ["key", "event_id", column])
+
+    return runs.mapInArrow(work, f"key long, event_id long, {column} boolean")
+
+
 def batch_rate_limit(events: DataFrame, key: str = "user_id", limit: int = 60, per: int = 60, block: int = 120) -> DataFrame:
-    """Batch twin of stream_rate_limit over a whole table (rate limits are per key; a key's events fit in a task)."""
+    """(key, event_id, accepted): batch twin of stream_rate_limit over a whole table.
 
-    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        decide = limiter([], float("-inf"), limit, per, block)
-        return pd.DataFrame({"key": k[0], "event_id": pdf.event_id, "accepted": [decide(t.timestamp()) for t in pdf.ts]})
+    A pause of the longer of ``per`` and ``block`` clears a key's state. A null key is a key; a repeated row counts again;
+    events without a time are rejected; ties in time go by event_id. An empty table gives no rows.
+    """
+
+    def start() -> Callable:
+        decide = limiter([], float("-inf"), limit, per * 1_000_000, block * 1_000_000)
+        return lambda times: [decide(t) for t in times.tolist()]
 
-    return events.groupBy(key).applyInPandas(one, "key long, event_id long, accepted boolean")
+    return _by_runs(_quiet_runs(events, key, max(per, block)), start, "accepted")
 
 
 class Throttle(StatefulProcessor):
@@ -136,17 +186,25 @@ def stream_alert_throttle(errors: DataFrame, key: str = "user_id", gap: int = 18
 
 
 def batch_throttle(errors: DataFrame, key: str = "user_id", gap: int = 1800) -> DataFrame:
-    """Batch twin of the throttle and of repeat detection: an event passes if none passed in the gap before it."""
+    """(key, event_id, passed): batch twin of the throttle and of repeat detection: an event passes if none passed in the gap before it.
 
-    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, passed = pdf.sort_values(["ts", "event_id"]), float("-inf"), []
-        for t in pdf.ts:
-            ok = t.timestamp() >= last + gap
-            last = t.timestamp() if ok else last
-            passed.append(ok)
-        return pd.DataFrame({"key": k[0], "event_id": pdf.event_id, "passed": passed})
+    A null key is a key; of events at one time the smallest event_id may pass; events without a time don't pass.
+    """
+
+    def start() -> Callable:
+        free = [np.iinfo(np.int64).min]  # from when on the next event passes
+
+        def rule(times: np.ndarray) -> np.ndarray:
+            passed, at = np.zeros(len(times), bool), int(np.searchsorted(times, free[0]))
+            while at < len(times):
+                passed[at] = True
+                free[0] = int(times[at]) + gap * 1_000_000
+                at = max(at + 1, int(np.searchsorted(times, free[0])))
+            return passed
+
+        return rule
 
-    return errors.groupBy(key).applyInPandas(one, "key long, event_id long, passed boolean")
+    return _by_runs(_quiet_runs(errors, key, gap), start, "passed")
 
 
 def stream_repeat_queries(queries: DataFrame, key: str = "user_id", ttl: int = 1800) -> DataFrame:

@@ -37,6 +37,48 @@ def test_throttle_and_repeats_equal_batch(spark, events, tmp_path):
     assert {(r.event_id, not r.served) for r in served.collect()} == got
 
 
+def _naive(rows, start):
+    """Rule by rule over each key's events, one after the other."""
+    out = set()
+    for key in {r[2] for r in rows}:
+        rule = start()
+        for t, i, _ in sorted(r for r in rows if r[2] == key and r[0] is not None):
+            out.add((key, i, rule(t)))
+        out |= {(key, i, False) for t, i, k in rows if k == key and t is None}
+    return out
+
+
+def _first_of(gap):
+    free = [-1.0]
+
+    def rule(t):
+        if t < free[0]:
+            return False
+        free[0] = t + gap
+        return True
+
+    return rule
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_rules_over_a_busy_key_and_awkward_rows(spark, batch):
+    """A third of all rows under one key with and without pauses, ties, null keys and times, large ids; batches smaller than a run."""
+    hot = [(float(3 * i + 40_000 * (i // 150)), i, 1) for i in range(600)]
+    rest = [(float(5000 * (i % 40) + i // 40), 1000 + i, 2 + i % 9) for i in range(900)]
+    odd = [(50.0, 5001, None), (50.0, 5000, None), (9e5, (1 << 60) + 1, None), (None, 5003, None), (None, 5004, 1), (1e6, 5006, (1 << 60) + 1), (1e6, 5005, (1 << 60) + 1)]
+    rows = hot + rest + odd
+    table = spark.createDataFrame(rows, "t double, event_id long, user_id long").withColumn("ts", F.timestamp_seconds("t")).withColumn("key", F.lit("clash"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = [tuple(r) for r in J.batch_rate_limit(table, limit=4, per=60, block=120).collect()]
+        assert len(got) == len(rows) and set(got) == _naive(rows, lambda: J.limiter([], float("-inf"), 4, 60, 120))
+        got = [tuple(r) for r in J.batch_throttle(table, gap=100).collect()]
+        assert len(got) == len(rows) and set(got) == _naive(rows, lambda: _first_of(100))
+        assert J.batch_throttle(table.where("false")).count() == 0 and J.batch_rate_limit(table.where("false")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_windows_and_latest(spark, events, tmp_path):
     folder, table = events
     got = J.run_once(J.stream_quality_windows(J.event_stream(spark, folder)), "windows", str(tmp_path / "w"))
