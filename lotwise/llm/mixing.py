@@ -172,7 +172,7 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with weights 5, 2, 1 and at most 3 readings: a row per document, with the shard and place of its
     first reading (null without one)."""
-    first = F.expr("readings[0]")
+    first = F.get("readings", F.lit(0))
     return mix(load(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", F.expr(TAKEN).alias("taken"), F.size("readings").alias("n_readings"),
         first.getField("shard").alias("shard"), first.getField("place").alias("place"),

@@ -97,6 +97,15 @@ def test_quotas_are_exact():
     assert max(sizes) - min(sizes) <= 3
 
 
+def test_mix_query_returns_every_document(spark, tmp_path):
+    """Documents that the mix doesn't read have no shard and place; the others have those of their first reading."""
+    docs = [(i, f"w{i} " * 50, "en", "a" if i % 3 else "b", 100) for i in range(300)] + [(300, None, "en", "b", 0), (301, "", "en", None, 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in mixing.op2_mix(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(302)) and {r.n_readings for r in got.values()} >= {0, 1}
+    assert all((r.shard is None) == (r.place is None) == (r.n_readings == 0) == (r.taken == 0) for r in got.values())
+
+
 def test_mix_meets_targets_and_agrees_on_reruns(spark, corpus, tmp_path):
     plan = mixing.mix(corpus, shards=4, block_words=64).select("doc_id", "source", "size", "target", F.expr(mixing.TAKEN).alias("taken"), "readings")
     rows = plan.collect()
