@@ -24,20 +24,6 @@ def s3_listing_blocks(s, d):
     return P.listing_blocks_from_html(table(s, d, "pages")).select("page_id", "block_no", "title", "listing_text")
 
 
-@query("SELECT bundle_id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS item_no, unnest(p) AS listing_text FROM (SELECT bundle_id, string_split(substr(raw_listing_text, 15), ' | ') AS p FROM bundles_v)", "bundles_v")
-def s4_split_stock_lists(s, d):
-    return P.split_stock_lists(view(s, d, "bundles_v"))
-
-
-@query("""SELECT bundle_id, CAST(n_items AS BIGINT) AS segments FROM (SELECT bundle_id, len(regexp_extract_all(raw_listing_text, ' [0-9]{5}[A-Z]{2} ')) AS n_items, len(list_distinct(regexp_extract_all(raw_listing_text, ' [0-9]{5}[A-Z]{2} '))) AS k,
- (len(regexp_extract_all(raw_listing_text, 'HKD [0-9]+'))) AS p FROM bundles_v) WHERE k >= 2 AND p = 0""", "bundles_v")
-def p22_reference_segments(s, d):
-    """Segments of the bundles without plain prices, which would count as references."""
-    b = view(s, d, "bundles_v").where("raw_listing_text NOT LIKE '%HKD%'")
-    many = F.size(F.array_distinct(F.regexp_extract_all("raw_listing_text", F.lit(" [0-9]{5}[A-Z]{2} "), F.lit(0)))) >= 2
-    return P.split_at_references(b.where(many), "bundle_id", "raw_listing_text").groupBy("bundle_id").agg(F.count("*").alias("segments"))
-
-
 @query(f"""SELECT query_id, CASE WHEN query_text LIKE '%1997' THEN 'reference_with_year' ELSE 'reference_with_descriptor' END AS intent_kind, CAST(len({TOK.format("query_text")}) - 1 AS INT) AS n_required FROM queries_v""", "queries_v")
 def p7_classify_intent(s, d):
     return N.classify_intent(view(s, d, "queries_v")).select("query_id", "intent_kind", F.size("required").alias("n_required"))
@@ -65,13 +51,6 @@ def p12_display_price(s, d):
     return listings(s, d).withColumn("raw", F.lit(None).cast("string")).select("listing_id", N.display_price("listing_text", "raw").alias("price"))
 
 
-@query(MATCH_SQL + """, spans AS (SELECT m.query_id, m.listing_id, (SELECT max(list_position(t, x)) FROM (SELECT unnest(descs) AS x)) AS hi, (SELECT min(list_position(t, x)) FROM (SELECT unnest(descs) AS x)) AS lo
-FROM m JOIN terms ON m.query_id = terms.query_id JOIN l ON m.listing_id = l.listing_id WHERE len(descs) = 1) SELECT query_id, listing_id, CAST(lo - 1 AS INT) AS start, CAST(1 AS BIGINT) AS len FROM spans""", "listings_v", "queries_v")
-def p23_descriptor_span(s, d):
-    one = joined(s, d).where(F.size(T.parse_query_terms("query_text")[1]) == 1)
-    return N.descriptor_span(one)
-
-
 @query("SELECT listing_id, listing_text AS snippet FROM listings_v", "listings_v")
 def p24_best_snippet(s, d):
     rows = listings(s, d).withColumn("raw", F.concat(F.lit("other thing | "), "listing_text", F.lit(" | more words")))
@@ -230,14 +209,8 @@ def m8_upsert_refinements(s, d):
 @query("SELECT listing_id, CAST(row_number() OVER (ORDER BY price NULLS LAST, listing_id) AS INT) AS place FROM (SELECT listing_id, CAST(nullif(regexp_extract(listing_text, 'HKD ([0-9]+)', 1), '') AS BIGINT) AS price FROM listings_v)", "listings_v")
 def o1_order_by_price(s, d):
     """Places of all listings by price, priceless last, ties by id."""
-    return o1_order_by_price_all(s, d).withColumn("place", F.col("place").cast("int"))
-
-
-@query("SELECT listing_id, row_number() OVER (ORDER BY price NULLS LAST, listing_id) AS place FROM (SELECT listing_id, CAST(nullif(regexp_extract(listing_text, 'HKD ([0-9]+)', 1), '') AS BIGINT) AS price FROM listings_v)", "listings_v")
-def o1_order_by_price_all(s, d):
-    """Places of all listings by price, as long numbers."""
     rows = listings(s, d).select("listing_id", "rank_in", N.display_price("listing_text", "listing_text").alias("price"))
-    return E.order_results(rows, "price_asc").select("listing_id", "place")
+    return E.order_results(rows, "price_asc").select("listing_id", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT listing_id, 'accepted' AS gate_status FROM listings_v", "listings_v")

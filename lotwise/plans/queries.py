@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import typed as Y
 from ..operators import audit as A
 from ..operators import dedupe as D
 from ..operators import evidence as E
@@ -120,15 +121,6 @@ def j3_descriptor_candidates(s, d):
     return M.descriptor_candidates(q, listings(s, d))
 
 
-@query(f""", q AS (SELECT query_id, [x for x in {TOK.format("query_text")} if not regexp_matches(x, '[0-9]')] AS descs FROM queries_v),
-l AS (SELECT listing_id, {TOK.format("listing_text")} AS t FROM listings_v), w AS (SELECT DISTINCT listing_id, unnest(t) AS x FROM l)
-SELECT query_id, listing_id FROM (SELECT query_id, len(list_distinct(descs)) AS n, unnest(list_distinct(descs)) AS x FROM q) q JOIN w USING (x)
-GROUP BY query_id, listing_id, n HAVING count(*) = n""", "listings_v", "queries_v")
-def j3_descriptor_candidates_all(s, d):
-    """The same as j3_descriptor_candidates, which once kept the first queries only."""
-    return j3_descriptor_candidates(s, d)
-
-
 @query(f"SELECT listing_id, {norm('listing_text')} AS normalized FROM listings_v", "listings_v")
 def p1_normalize_text(s, d):
     return listings(s, d).select("listing_id", T.normalize_text("listing_text").alias("normalized"))
@@ -150,13 +142,11 @@ def p4_canonical_descriptors(s, d):
     return table(s, d, "part").select("p_partkey", F.array_join(T.canonical_tokens(T.tokens(text)), " ").alias("words"))
 
 
-@query(f"""SELECT listing_id, CAST(pos - 1 AS INT) AS pos, regexp_full_match(tok, '(19|20)[0-9][0-9]') AS is_year, coalesce(t[pos - 1] = 'hkd' AND regexp_full_match(tok, '[0-9]+'), false) AS is_price
+@query(f"""SELECT listing_id, CAST(pos - 1 AS INT) AS pos, regexp_full_match(tok, '(19|20)[0-9][0-9]') AS is_year, coalesce(t[pos - 1] = 'hkd' AND regexp_full_match(tok, '[0-9]{{5,8}}'), false) AS is_price
 FROM (SELECT listing_id, t, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM (SELECT listing_id, {TOK.format("listing_text")} AS t FROM listings_v))""", "listings_v")
 def p5_type_tokens(s, d):
-    w = Window.partitionBy("listing_id").orderBy("pos")
-    rows = M.token_table(listings(s, d)).withColumn("prev", F.lag("tok").over(w))
-    price = F.coalesce(F.col("prev").rlike(f"^({T.CURRENCIES})$") & F.col("tok").rlike("^[0-9]+$"), F.lit(False))
-    return rows.select("listing_id", "pos", T.year_like(F.col("tok")).alias("is_year"), price.alias("is_price"))
+    rows = Y.type_tokens(listings(s, d), "listing_id", "listing_text")
+    return rows.select("listing_id", "pos", F.col("year").alias("is_year"), F.col("amount_after_money").alias("is_price"))
 
 
 @query(""", q AS (SELECT query_id, regexp_extract_all(lower(query_text), '[a-z0-9]+(?:[./-][a-z0-9]+)*') AS t FROM queries_v)

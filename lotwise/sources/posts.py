@@ -12,7 +12,6 @@ ITEM = (
     "struct<title:string,companyName:string,fromName:string,companyWhatsapp:string,whatsappNumber:string,phoneNumber:string,number:bigint,createdOn:string,"
     f"repostedAt:string,dialColor:string,frontImage:string,imageUrl:string,image_url:string,listings:array<{NESTED}>>"
 )
-ITEM_SEPARATOR = r"\s*(?:->|➡|•|\|)\s*"
 
 
 def listings_from_json(raw: DataFrame, column: str = "body") -> DataFrame:
@@ -62,36 +61,46 @@ def strip_tags(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]*>", " "), "[ \t\n\r]+", " "))
 
 
-def split_stock_lists(bundles: DataFrame, column: str = "raw_listing_text") -> DataFrame:
-    """One row for each priced or referenced item of a stock list: (bundle_id, item_no, listing_text); others stay whole."""
-    text = F.regexp_replace(F.col(column), r"(?i)^\s*(?:hk\s+)?stock\s*list\s*", "")
-    marked = F.col(column).rlike(r"(?i)\bstock\s*list\b")
-    parts = F.filter(F.transform(F.split(text, r" \| "), lambda p: F.trim(p)), lambda p: p != "")
-    pieces = F.when(marked & (F.size(parts) > 1), parts).otherwise(F.array(F.col(column)))
-    return bundles.select("bundle_id", F.posexplode_outer(pieces).alias("item_no", "listing_text"))
+# How stock lists and the references in them look.
+STOCK_LIST = r"(?i)\b(?:hk\s+)?stock\s+list\b|\bstocklist\b"
+PRODUCT_REFERENCE = r"(?i)\b(?=[a-z0-9/.-]*[0-9])[a-z0-9]+(?:[./-][a-z0-9]+)*\b"
+CONDITION_DATE = r"(?:n?[0-9]{1,2}|[0-9]{1,2}n)[/-][0-9]{2,4}y?|[0-9]{2,4}[/-](?:n?[0-9]{1,2}|[0-9]{1,2}n)y?|[0-9]{4}\.[0-9]{1,2}y?"
+SEGMENT_EDGES = r" \t\r\n\-–—•*|,;:"
+SEGMENT_CODES = ["segment.stock_list_marker", "segment.reference_boundary"]
 
 
-def split_at_references(posts: DataFrame, key: str, column: str) -> DataFrame:
-    """Segments of posts that name two or more references: each runs from a reference to the next one.
+def split_stock_lists(posts: DataFrame, key: str = "bundle_id", column: str = "raw_listing_text") -> DataFrame:
+    """(key, item_no, listing_text, raw_listing_text, scope_reason, reason_codes): a row for each item of a stock list.
 
-    Token and gap arrays rebuild the text between two references; posts with fewer references give their whole text.
+    A post with a stock list's marker and two different references is cut at its references, each item running up to the
+    next one; the parent's text stays beside it. Plain prices of four digits and more count as references. Other posts
+    stay whole, with a null scope and no codes; null posts give one row without text.
     """
-    rx = r"[A-Za-z0-9]+(?:[./-][A-Za-z0-9]+)*"
-    toks = F.regexp_extract_all(F.col(column), F.lit(rx), F.lit(0))
-    is_ref = lambda t: (
-        t.rlike("[0-9]") & ~F.lower(t).rlike(r"^[0-9]+(\.[0-9]+)?[km]$") & ~F.lower(t).rlike(T.CURRENCIES) & ~T.year_like(t)
-        & ~t.rlike("^n?[0-9]{1,2}[/-][0-9]{2,4}$") & (F.length(t) >= 4)
+    words = lambda c: F.regexp_extract_all(c, F.lit(PRODUCT_REFERENCE), F.lit(0))
+    rows = posts.select(key, F.col(column).alias("raw_listing_text"), words(F.col(column)).alias("raws"), F.split(F.col(column), PRODUCT_REFERENCE, -1).alias("gaps"))
+
+    def is_reference(word: Column) -> Column:
+        w = F.lower(word)
+        dated = w.rlike(f"^(?:{CONDITION_DATE})$") | T.year_like(w) | w.rlike(r"^[0-9]+(?:\.[0-9]+)?[km]$")
+        return ~dated & ~w.rlike("hkd|usd|usdt|eur|aed") & ((F.length(w) >= 4) | w.contains("/"))
+
+    at = F.filter(F.transform("raws", lambda w, i: F.when(is_reference(w), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("at", at)
+    several = F.size(F.array_distinct(F.transform("at", lambda i: F.lower(F.get("raws", i))))) > 1
+    listed = F.col("raw_listing_text").rlike(STOCK_LIST) & several
+    rows = rows.withColumn("listed", F.coalesce(listed, F.lit(False)))
+
+    def item(i: Column, n: Column) -> Column:
+        words = F.slice("raws", i + 1, F.coalesce(F.get("at", n + 1), F.size("raws")) - i)
+        text = F.array_join(F.transform(words, lambda w, j: F.concat(w, F.get("gaps", i + j + 1))), "")
+        return T.squeeze(F.regexp_replace(text, f"^[{SEGMENT_EDGES}]+|[{SEGMENT_EDGES}]+$", ""))
+
+    items = F.when(F.col("listed"), F.filter(F.transform("at", item), lambda x: x.isNotNull())).otherwise(F.array("raw_listing_text"))
+    rows = rows.select(key, "raw_listing_text", "listed", F.posexplode_outer(items).alias("item_no", "listing_text"))
+    return rows.select(
+        key, "item_no", "listing_text", "raw_listing_text", F.when(F.col("listed"), "scope.stock_list").alias("scope_reason"),
+        F.when(F.col("listed"), F.array(*map(F.lit, SEGMENT_CODES))).otherwise(F.array().cast("array<string>")).alias("reason_codes"),
     )
-    rows = posts.select(key, F.col(column).alias("t"), toks.alias("toks"), F.split(F.col(column), rx, -1).alias("gaps"))
-    at = F.filter(F.transform("toks", lambda t, i: F.when(is_ref(t), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("at", at).where(F.size("toks") > 0)
-    many = F.size(F.array_distinct(F.transform("at", lambda i: F.lower(F.get("toks", i))))) >= 2
-    rows = rows.select(key, "t", "toks", "gaps", F.when(many, F.col("at")).otherwise(F.array()).alias("at"))
-    segs = rows.select(key, "t", "toks", "gaps", "at", F.posexplode_outer("at").alias("n", "start"))
-    end = F.coalesce(F.get("at", F.col("n") + 1), F.size("toks"))
-    segs = segs.withColumn("upto", end)
-    piece = F.expr("array_join(transform(sequence(start, upto - 1), i -> concat(toks[i], if(i < upto - 1, gaps[i + 1], ''))), '')")
-    return segs.select(key, F.coalesce("n", F.lit(0)).alias("item_no"), F.when(F.col("start").isNull(), F.col("t")).otherwise(piece).alias("listing_text"))
 
 
 def read_query_list(spark: SparkSession, path: str) -> DataFrame:

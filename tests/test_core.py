@@ -16,7 +16,7 @@ from lotwise.operators import issues as I
 from lotwise.operators import match as M
 from lotwise.operators import similar as S
 from lotwise.operators.suspicious import with_issues
-from lotwise.plans import files, more  # noqa: F401  they register their queries
+from lotwise.plans import files, more, segments  # noqa: F401  they register their queries
 from lotwise.plans.queries import ORACLES, QUERIES
 from lotwise.sources.views import view
 
@@ -37,7 +37,7 @@ def test_normalize(spark, text, want):
 
 @pytest.mark.parametrize(
     ("query", "refs", "descs"),
-    [("5711/1A blue", ["5711/1a"], ["blue"]), ("116500 and panda 2022", ["116500"], ["panda", "2022"]), ("15202 or blue", ["15202or"], ["blue"]),
+    [("5711/1A blue", ["5711/1a"], ["blue"]), ("612345 and oliv 2022", ["612345"], ["oliv", "2022"]), ("15202 or blue", ["15202or"], ["blue"]),
      ("rose gold chocolate", [], ["rg", "choco"]), ("", [], []), (None, [], [])],
 )
 def test_query_terms(spark, query, refs, descs):
@@ -47,7 +47,7 @@ def test_query_terms(spark, query, refs, descs):
 
 @pytest.mark.parametrize(
     ("text", "prices"),
-    [("116500 panda 30.5k", [116500, 30500]), ("HKD 780,000", [780000]), ("$1.2m new", [1200000]), ("no price 1997", []), (None, [])],
+    [("91234Q oliv 82.5k 61000", [82500, 61000]), ("HKD 780,000", [780000]), ("$1.2m new", [1200000]), ("no price 1997", []), (None, [])],
 )
 def test_prices(spark, text, prices):
     assert sorted(one(spark, text, T.price_mentions("t"))) == sorted(prices)
@@ -76,7 +76,7 @@ def test_dedupe_latest_keeps_newer_in_first_place(spark):
 
 
 def test_similar_groups(spark):
-    rows = [(1, "a", 1, "116500 panda full set 30.5k"), (1, "b", 2, "116500 panda full set 30.5k"), (1, "c", 3, "116500 panda full set 31.5k"), (1, "d", 4, "116500 panda full set 2019 30.5k"), (2, "a", 1, "x")]
+    rows = [(1, "a", 1, "612345 oliv full set 30.5k"), (1, "b", 2, "612345 oliv full set 30.5k"), (1, "c", 3, "612345 oliv full set 31.5k"), (1, "d", 4, "612345 oliv full set 2019 30.5k"), (2, "a", 1, "x")]
     df = spark.createDataFrame(rows, "query_id int, listing_id string, rank_in int, listing_text string")
     pairs = S.similar_pairs(df.where("listing_id != 'd'"), with_ratio=True)
     got = {(r.query_id, r.listing_id): (r.group_id, r.group_size, r.is_primary) for r in S.group_similar(df, pairs).collect()}
@@ -101,7 +101,7 @@ def test_descriptor_candidates_of_all_queries(spark, tiny):
     plain = lambda t: {w for w in t.lower().split() if not any(c.isdigit() for c in w)}
     q = [(r.query_id, plain(r.query_text)) for r in view(spark, tiny, "queries_v").collect()]
     ls = [(r.listing_id, set(r.listing_text.lower().split())) for r in view(spark, tiny, "listings_v").collect()]
-    got = QUERIES["j3_descriptor_candidates_all"](spark, tiny).collect()
+    got = QUERIES["j3_descriptor_candidates"](spark, tiny).collect()
     assert sorted((r.query_id, r.listing_id) for r in got) == sorted((i, k) for i, ds in q if ds for k, t in ls if ds <= t)
     assert max(r.query_id for r in got) > 100
 

@@ -110,10 +110,14 @@ def test_json_and_nested_listings(spark):
 
 
 def test_segments_of_a_stock_list(spark):
-    text = "HK STOCK LIST 228345 arabic 312k 4408r new 2021 -> 97k 6102/1B used 2019 54k"
-    rows = P.split_at_references(spark.createDataFrame([(1, text), (2, "one 5711 only"), (3, None)], "id int, t string"), "id", "t").orderBy("id", "item_no").collect()
-    parts = [r.listing_text for r in rows if r.id == 1]
-    assert [p.split()[0] for p in parts] == ["228345", "4408r", "6102/1B"] and [r.listing_text for r in rows if r.id == 2] == ["one 5711 only"]
+    text = "HK STOCK LIST • 828345 arabic 312k - 7408r new 2021 -> 97k; 9102/1B, used 2019 54k |  7408R n3/2020 900000usd"
+    one, dull = "stocklist 5712 5712 blue", "828345 arabic 7408r new"
+    df = spark.createDataFrame([(1, text), (2, one), (3, None), (4, dull), (5, "")], "bundle_id int, raw_listing_text string")
+    rows = P.split_stock_lists(df).orderBy("bundle_id", "item_no").collect()
+    parts = [r.listing_text for r in rows if r.bundle_id == 1]
+    assert parts == ["828345 arabic 312k", "7408r new 2021 -> 97k", "9102/1B, used 2019 54k", "7408R n3/2020 900000usd"]
+    assert [(r.listing_text, r.scope_reason) for r in rows if r.bundle_id != 1] == [(one, None), (None, None), (dull, None), ("", None)]
+    assert {(r.scope_reason, tuple(r.reason_codes), r.raw_listing_text) for r in rows[:4]} == {("scope.stock_list", tuple(P.SEGMENT_CODES), text)}
 
 
 def test_query_list_and_audit_files(spark, tmp_path):
