@@ -1,70 +1,13 @@
-"""Query intent: brands, collections and nicknames of a query, its kind, and retrieval branches."""
+"""What a match must keep to: prefilters, guardrails, spans and prices, and the gates of suggested texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 
-# Rules that map words and reference shapes to brands, collections and nicknames.
-BRANDS = [("patek", "patek philippe"), ("patek philippe", "patek philippe"), ("pp", "patek philippe"), ("rolex", "rolex"), ("ap", "audemars piguet"),
-          ("audemars piguet", "audemars piguet"), ("rm", "richard mille"), ("richard mille", "richard mille"), ("vc", "vacheron constantin"), ("vacheron constantin", "vacheron constantin")]
-GRAMMARS = [("^rm[0-9]{2,3}", "richard mille"), ("^[0-9]{4}[/][0-9]{1,4}[a-z]$", "patek philippe"), ("^[0-9]{5}(st|or|ti|bc|ce|sr)$", "audemars piguet"), ("^[0-9]{6}(ln|lv|lb|blro|blnr|rb|g)?$", "rolex")]
-COLLECTIONS = [("daytona", "rolex", "daytona"), ("submariner", "rolex", "submariner"), ("nautilus", "patek philippe", "nautilus"), ("aquanaut", "patek philippe", "aquanaut"), ("royal oak", "audemars piguet", "royal oak")]
-NICKNAMES = [("panda", "rolex", "daytona"), ("pepsi", "rolex", "gmt master"), ("batman", "rolex", "gmt master"), ("hulk", "rolex", "submariner"), ("jumbo", "audemars piguet", "royal oak")]
-
-
-def rules(spark: SparkSession) -> DataFrame:
-    """All rules in one small table: order of sources is explicit, reference, collection, nickname."""
-    rows = [(0, "explicit", p, b, None) for p, b in BRANDS] + [(1, "reference", p, b, None) for p, b in GRAMMARS]
-    rows += [(2, "collection", p, b, c) for p, b, c in COLLECTIONS] + [(3, "nickname", p, b, c) for p, b, c in NICKNAMES]
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "rule int, source_order int, confidence string, pattern string, brand string, collection string")
-
-
-def annotate_query_plan(queries: DataFrame) -> DataFrame:
-    """(query_id, brand, confidence, collections, nicknames): first brand claim wins, in order of source and rule."""
-    text = F.concat(F.lit(" "), T.normalize_text("query_text"), F.lit(" "))
-    q = queries.select("query_id", text.alias("t"), T.tokens("query_text").alias("toks"))
-    phrase = F.col("t").contains(F.concat(F.lit(" "), "pattern", F.lit(" ")))
-    shape = F.exists("toks", lambda x: F.regexp_like(x, F.col("pattern")))
-    hit = q.join(F.broadcast(rules(queries.sparkSession)), F.when(F.col("confidence") == "reference", shape).otherwise(phrase))  # a fixed rule table
-    best = F.min(F.struct("source_order", "rule", "brand", "confidence"))
-    names = lambda kind, c: F.array_sort(F.collect_set(F.when(F.col("confidence") == kind, F.col(c))))
-    plan = hit.groupBy("query_id").agg(best.alias("b"), names("collection", "collection").alias("collections"), names("nickname", "pattern").alias("nicknames"))
-    none = F.array().cast("array<string>")
-    return queries.join(plan, "query_id", "left").select(
-        "query_id", "query_text", F.col("b.brand").alias("brand"), F.col("b.confidence").alias("confidence"),
-        F.coalesce("collections", none).alias("collections"), F.coalesce("nicknames", none).alias("nicknames"),
-    )
-
-
-def classify_intent(queries: DataFrame) -> DataFrame:
-    """intent_kind with required and optional descriptors and the conflicting ones."""
-    refs, descs = T.parse_query_terms("query_text")
-    q = queries.withColumns({"refs": refs, "descs": descs})
-    years = F.filter("descs", T.year_like)
-    kind = (
-        F.when((F.size("refs") > 0) & (F.size("descs") == 0), "reference_only")
-        .when((F.size("refs") > 0) & (F.size(years) > 0), "reference_with_year")
-        .when(F.size("refs") > 0, "reference_with_descriptor")
-        .when(F.arrays_overlap("descs", F.array(*[F.lit(x) for p, _ in BRANDS for x in p.split(" ")])) & (F.size("descs") > 1), "brand_model_descriptor")
-        .otherwise("free_text")
-    )
-    return q.withColumns({"intent_kind": kind, "required": F.when(F.size("refs") > 0, F.col("descs")).otherwise(F.array().cast("array<string>")), "conflicts": T.conflict_descriptors(F.col("descs"))})
-
-
-def expand_queries(annotated: DataFrame) -> DataFrame:
-    """(query_id, branch_no, branch_text): the query, then brand and collection branches; equal branches once."""
-    brand = F.when(F.col("brand").isNotNull() & (F.col("confidence") != "explicit"), F.concat_ws(" ", "brand", "query_text"))
-    more = F.transform("collections", lambda c: F.concat_ws(" ", c, F.col("query_text")))
-    branches = F.array_compact(F.concat(F.array(F.col("query_text"), brand), more))
-    rows = annotated.select("query_id", F.posexplode_outer(branches).alias("branch_no", "branch_text"))
-    first = Window.partitionBy("query_id", T.normalize_text("branch_text")).orderBy("branch_no")
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-
-
 def prefiltered_match(matches: DataFrame, strict: Column) -> DataFrame:
     """Candidates of a filtered source: where any row of a query passes ``strict``, only those; else all of them."""
     any_ = F.max(strict.cast("int")).over(Window.partitionBy("query_id"))

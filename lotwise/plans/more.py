@@ -24,22 +24,6 @@ def s3_listing_blocks(s, d):
     return P.listing_blocks_from_html(table(s, d, "pages")).select("page_id", "block_no", "title", "listing_text")
 
 
-@query(f"""SELECT query_id, CASE WHEN query_text LIKE '%1997' THEN 'reference_with_year' ELSE 'reference_with_descriptor' END AS intent_kind, CAST(len({TOK.format("query_text")}) - 1 AS INT) AS n_required FROM queries_v""", "queries_v")
-def p7_classify_intent(s, d):
-    return N.classify_intent(view(s, d, "queries_v")).select("query_id", "intent_kind", F.size("required").alias("n_required"))
-
-
-@query("""SELECT query_id, CASE WHEN regexp_matches(lower(query_text), '(^| )[0-9]{5}(st|or|ti|bc|ce|sr)( |$)') THEN 'audemars piguet' END AS brand, CASE WHEN regexp_matches(lower(query_text), '(^| )[0-9]{5}(st|or|ti|bc|ce|sr)( |$)') THEN 'reference' END AS confidence FROM queries_v""", "queries_v")
-def p8_annotate_query_plan(s, d):
-    return N.annotate_query_plan(view(s, d, "queries_v")).select("query_id", "brand", "confidence")
-
-
-@query("""SELECT query_id, 0 AS branch_no, query_text AS branch_text FROM queries_v UNION ALL
-SELECT query_id, 1 AS branch_no, 'audemars piguet ' || query_text AS branch_text FROM queries_v WHERE regexp_matches(lower(query_text), '(^| )[0-9]{5}(st|or|ti|bc|ce|sr)( |$)')""", "queries_v")
-def j4_expand_queries(s, d):
-    return N.expand_queries(N.annotate_query_plan(view(s, d, "queries_v")))
-
-
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'wg' ELSE 'rg' END AS conflicts FROM part")
 def p9_conflict_descriptors(s, d):
     text = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" rose gold"))).otherwise(F.concat("p_name", F.lit(" whitegold")))

@@ -142,11 +142,7 @@ def test_payloads_become_branch_rows(spark):
     assert r.top_results == ["0", "1", "2"] and (r.branch, r.ms, r.parsed) == ("b", 4, 3)
 
 
-def test_intent_and_gates(spark):
-    q = spark.createDataFrame([(1, "patek 5711 blue"), (2, "daytona panda"), (3, "15202st"), (4, "nothing here")], "query_id int, query_text string")
-    got = {r.query_id: (r.brand, r.confidence) for r in N.annotate_query_plan(q).collect()}
-    assert got == {1: ("patek philippe", "explicit"), 2: ("rolex", "collection"), 3: ("audemars piguet", "reference"), 4: (None, None)}
-    assert {r.query_id: r.n for r in N.expand_queries(N.annotate_query_plan(q)).groupBy("query_id").agg(F.count("*").alias("n")).collect()}[2] >= 2
+def test_gates(spark):
     rows = spark.createDataFrame([("5711", "5711 blue", "x | 5711 blue"), ("5711", "5990", "x | 5711"), ("5711", None, "x")], "query_text string, suggested_text string, raw_listing_text string")
     assert [r.gate_status for r in N.gate_suggestions(rows).collect()] == ["accepted", "rejected", "rejected"]
     done = N.refine_with(rows.where("suggested_text IS NOT NULL"), rows.limit(0).selectExpr("query_text", "suggested_text", "'c' AS refined_text"), lambda it: (p.assign(refined_text=p.suggested_text.str.upper()) for p in it), ["query_text", "suggested_text"])
