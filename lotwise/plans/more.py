@@ -12,18 +12,11 @@ from ..operators import intent as N
 from ..operators import issues as I
 from ..operators import match as M
 from ..operators import similar as S
-from ..sources import posts as P
 from ..sources.views import view
 from ..streaming import jobs as J
 from .queries import MATCH_SQL, RANK_SQL, TOK, _PAIRS, joined, listings, norm, query, table
 
 
-@query("""SELECT page_id, 0 AS block_no, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS title,
-trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article.*?</article>'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS listing_text FROM pages WHERE html LIKE '%<article%'""")
-def s3_listing_blocks(s, d):
-    return P.listing_blocks_from_html(table(s, d, "pages")).select("page_id", "block_no", "title", "listing_text")
-
-
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'wg' ELSE 'rg' END AS conflicts FROM part")
 def p9_conflict_descriptors(s, d):
     text = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" rose gold"))).otherwise(F.concat("p_name", F.lit(" whitegold")))

@@ -44,23 +44,6 @@ def explode_nested(items: DataFrame) -> DataFrame:
     return head.unionByName(n)
 
 
-def listing_blocks_from_html(pages: DataFrame) -> DataFrame:
-    """Blocks of the first kind of markup that a page has: `data-listing` elements, then articles; with title and link."""
-    kinds = [r"(?s)<(?:div|li|section)[^>]*data-listing[^>]*>.*?</(?:div|li|section)>", r"(?s)<article.*?</article>"]
-    found = [F.regexp_extract_all("html", F.lit(k), F.lit(0)) for k in kinds]
-    blocks = F.when(F.size(found[0]) > 0, found[0]).otherwise(found[1])
-    rows = pages.select("page_id", "url", F.posexplode_outer(blocks).alias("block_no", "block")).where("block IS NOT NULL")
-    return rows.select(
-        "page_id", "url", "block_no", F.regexp_extract("block", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("title"),
-        F.regexp_extract("block", r'href="([^"]*)"', 1).alias("link"), strip_tags("block").alias("listing_text"),
-    )
-
-
-def strip_tags(c: str | Column) -> Column:
-    out = F.regexp_replace(T.col(c), r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]*>", " "), "[ \t\n\r]+", " "))
-
-
 # How stock lists and the references in them look.
 STOCK_LIST = r"(?i)\b(?:hk\s+)?stock\s+list\b|\bstocklist\b"
 PRODUCT_REFERENCE = r"(?i)\b(?=[a-z0-9/.-]*[0-9])[a-z0-9]+(?:[./-][a-z0-9]+)*\b"
