@@ -203,17 +203,6 @@ def x5_validate_responses(s, d):
     return N.validate_responses(rows).select("event_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'error') / count(*) AS error_rate FROM events GROUP BY 1")
-def t3_quality_windows(s, d):
-    """Batch form of the streaming windows (a watermark has no effect on a table)."""
-    return J.stream_quality_windows(table(s, d, "events"))
-
-
-@query("SELECT user_id, max_by(event_type, ts) AS event_type, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id")
-def t2_latest(s, d):
-    return J.stream_latest(table(s, d, "events"), ["user_id"], "ts", "event_type")
-
-
 # an event is rejected while the third latest accepted one is less than a day old, which then blocks its user for two days
 @query("""
 WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -258,14 +247,6 @@ def x3_similar_pairs_with_ratio(s, d):
     return S.similar_pairs(joined(s, d), with_ratio=True)
 
 
-@query("SELECT event_type, user_id, min(ts) AS first_seen FROM events GROUP BY 1, 2")
-def t1_dedupe_arrivals(s, d):
-    """Batch twin of stream_dedupe_listings: the first arrival of each key."""
-    rows = table(s, d, "events").select(F.col("ts").alias("seen_at"), F.col("event_type").alias("listing_text"), F.col("user_id").cast("string").alias("seller"), F.lit("2026").alias("posted_date"), F.col("user_id"))
-    once = D.dedupe_exact(rows.withColumn("rank_in", F.col("seen_at")))
-    return once.select(F.col("listing_text").alias("event_type"), "user_id", F.col("seen_at").alias("first_seen"))
-
-
 @query("SELECT query_text, result_rank, reason, reporter_id, listing_text, count(*) AS report_count FROM feedback_v GROUP BY 1, 2, 3, 4, 5", "feedback_v")
 def t7_stream_feedback(s, d):
     """Reports written by a stream of micro-batches to a log and merged by key on reading."""

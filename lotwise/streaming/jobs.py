@@ -11,15 +11,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
-def event_stream(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream, one file for each micro-batch."""
-    return spark.readStream.schema(schema or spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema: str | None = None, files: int = 1) -> DataFrame:
+    """Parquet files of a folder as a stream, so many files for each micro-batch."""
+    return spark.readStream.schema(schema or spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def write_arrivals(rows: DataFrame, time: str, path: str, slices: int = 4, files: int = 4) -> None:
+    """Write rows as arrivals: slices of about equal size in order of time, each of at most ``files`` files; null times come last.
+
+    Streams that read so many files for each micro-batch see one slice after the other. Only the bounds of the slices reach the driver.
+    """
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    shares = [(i + 1) / slices for i in range(slices - 1)]
+    bounds = rows.agg(F.percentile_approx(at, shares, F.lit(10_000))).first()[0] or []
+    number = sum(((at > b).cast("int") for b in bounds), F.lit(0))
+    rows = rows.withColumn("__slice", F.coalesce(number, F.lit(slices - 1)))
+    for i in range(slices):
+        rows.where(F.col("__slice") == i).drop("__slice").repartition(files).write.mode("append").parquet(path)
+
+
+def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what has arrived into Parquet files and read them; a restart from the checkpoint goes on from there."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_updates(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Run a stream in update mode, each micro-batch's changed rows a folder of its own, and read the newest row of each key."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")  # a retried batch overwrites itself
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    log = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    values = [c for c in stream.columns if c not in keys]
+    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r"))
+    return newest.select(*keys, *[f"r.{c}" for c in values])
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
