@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import suspicious
 from ..sources.shared import scratch
 from .suspicious import with_issues
 
@@ -14,8 +15,7 @@ PRICE_SEEN = (
     r"(?i)(?:[$€£¥]\s*[0-9]|\b(?:hkd|usd|usdt|eur|aed|chf)\s*[0-9]|\b[0-9]{1,3}(?:[,\s.][0-9]{3})+\s*(?:hkd|usd|usdt|eur|aed|chf)?\b"
     r"|\b[0-9]+(?:[,.][0-9]+)?[km]\b|\b[0-9]+(?:[,.][0-9]+)?[km]?\s*[$€£¥](?:[^a-zA-Z0-9_]|$)|\b[0-9]{5,8}\s*(?:hkd|usd|usdt|eur|aed|chf)?\b)"
 )
-KARAT = r"(?i)\b(?:9|10|14|18|19|20|21|22|24)k\s+(?:(?:rose|yellow|white|pink)\s+)?gold\b"
-STOCK_LIST = r"(?i)\b(?:hk\s+)?stock\s+list\b|\bstocklist\b"
+KARAT, STOCK_LIST = f"(?i){suspicious.KARAT}", f"(?i){suspicious.STOCK_LIST}"
 SCOPE_SCORE = {"scope.full_listing": 2, "scope.scoped": 1, "scope.stock_list": 0}
 
 

@@ -16,6 +16,8 @@ SHORT_CODES = "(?:hk|hkd|us|usd|usdt|eur|aed|chf)"
 LABELS = "(?:lnl|lab|label|lbl)"
 BRANDS = ["ap", "audemars", "patek", "philippe", "pp", "ref", "rolex"]
 KARAT = r"\b(?:9|10|14|18|19|20|21|22|24)k\s+(?:(?:rose|yellow|white|pink)\s+)?gold\b"
+MONEY_SIGNS = "€£💰💲$"
+MARKED_END = r"\d+(?:[,.]\d+)*(?:k|m)?(?:hk|hkd|us|usd|usdt)?[$💰💲]$"
 STOCK_LIST = r"\b(?:hk\s+)?stock\s+list\b|\bstocklist\b"
 REFERENCE = r"\b(?=[a-z0-9/.-]*\d)[a-z0-9]+(?:[./-][a-z0-9]+)*\b"
 PRICE = [
@@ -47,30 +49,31 @@ def _compact(c: Column) -> Column:
     return F.regexp_replace(c, r"[\s,]", "")
 
 
-def currency_amounts(c: Column) -> Column:
+def currency_amounts(plain: Column) -> Column:
     """Array of arrays: the spellings of each amount of weight that stands beside a currency code or money symbol.
 
-    Amounts of weight end in k, m, u, mil or million or have five digits.
+    plain is folded text (_plain). Amounts of weight end in k, m, u, mil or million or have five digits. Texts without
+    any code or symbol are told by one test; the others are searched once a pattern, and groups come from the few finds.
     """
-    text, codes = _plain(c), "|".join(sorted(CODES))
+    codes = "|".join(sorted(CODES))
     heavy = lambda a: a.rlike("(?:k|m|u|mil|million)$") | (F.length(F.regexp_replace(a, r"\D", "")) >= 5)
 
     def found(pattern: str, amount: int, mark: int, alone: bool) -> Column:
-        parts = [F.transform(F.regexp_extract_all(text, F.lit(_UNICODE + pattern), F.lit(i)), _compact) for i in (amount, mark)]
-        pairs = F.filter(F.arrays_zip(parts[0].alias("a"), parts[1].alias("m")), lambda p: heavy(p["a"]))
+        group = lambda m, i: _compact(F.regexp_extract(m, _UNICODE + pattern, i))
+        finds = F.regexp_extract_all(plain, F.lit(_UNICODE + pattern), F.lit(0))
+        pairs = F.filter(F.transform(finds, lambda m: F.struct(group(m, amount).alias("a"), group(m, mark).alias("m"))), lambda p: heavy(p["a"]))
         return F.transform(pairs, lambda p: F.array(F.concat(p["m"], p["a"]), F.concat(p["a"], p["m"]), *([p["a"]] if alone else [])))
 
-    return F.concat(
-        found(rf"\b({codes})\b{BETWEEN}({SPACED_AMOUNT})", 2, 1, False),
-        found(rf"({SPACED_AMOUNT}){BETWEEN}\b({codes})\b", 1, 2, False),
-        found(rf"([€£💰💲$])\s*({SPACED_AMOUNT})", 2, 1, True),
-        found(rf"({SPACED_AMOUNT})([€£💰💲$])", 1, 2, True),
-    )
+    coded = F.concat(found(rf"\b({codes})\b{BETWEEN}({SPACED_AMOUNT})", 2, 1, False), found(rf"({SPACED_AMOUNT}){BETWEEN}\b({codes})\b", 1, 2, False))
+    signed = F.concat(found(rf"([{MONEY_SIGNS}])\s*({SPACED_AMOUNT})", 2, 1, True), found(rf"({SPACED_AMOUNT})([{MONEY_SIGNS}])", 1, 2, True))
+    none = F.array().cast("array<array<string>>")
+    return F.concat(F.when(plain.rlike(codes), coded).otherwise(none), F.when(plain.rlike(f"[{MONEY_SIGNS}]"), signed).otherwise(none))
 
 
-def shows_price(c: Column, amounts: Column) -> Column:
-    """A price can be seen in a text; amounts: its currency_amounts. Karat gold is none."""
-    return (F.size(amounts) > 0) | F.regexp_replace(_plain(c), _UNICODE + KARAT, " ").rlike(_UNICODE + "|".join(PRICE))
+def shows_price(plain: Column, amounts: Column) -> Column:
+    """A price can be seen in a folded text; amounts: its currency_amounts. Karat gold is none."""
+    ungilded = F.when(plain.contains("gold"), F.regexp_replace(plain, _UNICODE + KARAT, " ")).otherwise(plain)
+    return (F.size(amounts) > 0) | ungilded.rlike(_UNICODE + "|".join(PRICE))
 
 
 def _strip(t: Column, marks: str = ":,.;/-") -> Column:
@@ -107,10 +110,12 @@ def with_issues(df: DataFrame, text: str, raw: str, out: str = "issues") -> Data
     """
     lower = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), r"(?U)\s+", " "))
     keep = list(df.columns)
-    t, r, words, amounts, price, refs = (F.col(f"__{n}") for n in ("t", "r", "words", "amounts", "price", "refs"))
+    t, r, words, plain, amounts, price, refs = (F.col(f"__{n}") for n in ("t", "r", "words", "plain", "amounts", "price", "refs"))
     rows = df.withColumns({"__t": lower(text), "__r": lower(raw)})
-    rows = rows.withColumns({"__amounts": currency_amounts(t), "__words": F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))})
-    rows = rows.withColumn("__price", shows_price(t, amounts))
+    rows = rows.withColumn("__plain", _plain(t))
+    rows = rows.withColumns({"__amounts": currency_amounts(plain), "__words": F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))})
+    rows = rows.withColumn("__price", shows_price(plain, amounts))
+    rows = rows.withColumn("__raw", F.when(~price & (t != ""), _plain(r)))  # only looked at where no price shows
     rows = rows.withColumn("__refs", F.when(~price, _references(t)).otherwise(F.array().cast("array<string>")))
 
     last, second, third = _word(words, 1), _word(words, 2), _word(words, 3)
@@ -118,8 +123,8 @@ def with_issues(df: DataFrame, text: str, raw: str, out: str = "issues") -> Data
     doubled = second.isin(*codes) & ((F.size(words) == 2) | ~_amount_like(third))
     after_amount = _amount_like(_word(words, 2, ":,.;/-$")) | (second.isin("k", "m", "mil", "million") & _amount_like(third))
     ends_with_code = last.isin(*codes) & ~doubled & ~after_amount
-    ends_with_marker = last.isin("price", "$", "💰", "💲") | (t.rlike("[$💰💲]$") & ~t.rlike(r"\d+(?:[,.]\d+)*(?:k|m)?(?:hk|hkd|us|usd|usdt)?[$💰💲]$"))
-    lost = F.exists(currency_amounts(r), lambda forms: F.exists(forms, lambda f: ~F.contains(_compact(t), f)))
+    ends_with_marker = last.isin("price", "$", "💰", "💲") | (t.rlike("[$💰💲]$") & ~t.rlike(MARKED_END))
+    lost = F.exists(currency_amounts(F.col("__raw")), lambda forms: F.exists(forms, lambda f: ~F.contains(_compact(t), f)))
     unpriced = t.rlike(_UNICODE + REFERENCE) & ~_non_sale(words)
     stock_list = (r != "") & (t != "") & (r != t) & unpriced & r.rlike(_UNICODE + STOCK_LIST) & (F.size(_references(r)) > 1)
     others = F.filter(F.transform(words, lambda w: _strip(w, ":,.;")), lambda w: ~F.array_contains(refs, w) & ~w.isin(*BRANDS))
