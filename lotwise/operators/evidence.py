@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import suspicious
 from ..sources.shared import scratch
+from . import suspicious
 from .suspicious import with_issues
 
 # What counts as a visible price, karat gold that does not, stock-list markers.
@@ -136,15 +136,26 @@ def score_components(matches: DataFrame) -> DataFrame:
     ).drop("issues")
 
 
+def with_plan_scores(scored: DataFrame, guarded: DataFrame, keys: list[str]) -> DataFrame:
+    """score_components' rows with what guardrails.with_guardrails says of them: demoted ones join quality group 1, only
+    conflicts inside the segment count, and the brand's claim is the twelfth component."""
+    plan = guarded.select(*[F.col(k).alias(f"__{k}") for k in keys], "guardrail_group", "guardrail_reasons", F.col("alias_score").alias("__alias"))
+    rows = scored.join(plan.dropDuplicates([f"__{k}" for k in keys]), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    return rows.withColumns({
+        "quality_group": F.greatest("quality_group", "guardrail_group"), "alias_score": F.coalesce("__alias", F.lit(0)),
+        "conflict": F.coalesce(F.array_contains("guardrail_reasons", "guardrail.descriptor_conflict"), F.lit(False)).cast("int"),
+    }).drop("__alias", *[f"__{k}" for k in keys])
+
+
 RANK_ORDER = [
-    "quality_group", "conflict", "severity", "date_group", "-posted_date", "-reference_score", "-descriptor_score",
+    "quality_group", "conflict", "severity", "date_group", "-posted_date", "-alias_score", "-reference_score", "-descriptor_score",
     "-price_score", "-scope_score", "-image_score", "rank_in",
 ]
 
 
 def rank_by_quality(scored: DataFrame, query: str = "query_id") -> DataFrame:
-    """rank: position in the query's quality order (conflicts before severity), ties by input order."""
-    order = [F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc() for c in RANK_ORDER]
+    """rank: position in the query's quality order (conflicts before severity), ties by input order; keys that scored lacks are left out."""
+    order = [F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc() for c in RANK_ORDER if c.strip("-") in scored.columns]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
 
 

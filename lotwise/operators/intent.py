@@ -8,36 +8,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 
+
 def prefiltered_match(matches: DataFrame, strict: Column) -> DataFrame:
     """Candidates of a filtered source: where any row of a query passes ``strict``, only those; else all of them."""
     any_ = F.max(strict.cast("int")).over(Window.partitionBy("query_id"))
     return matches.withColumn("__any", any_).where((F.col("__any") == 0) | strict).drop("__any")
 
 
-def block_final(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, blocked): a descriptor such as `41mm` or a one-letter suffix must stand in the shown text, unless the parent has it."""
-    short = F.filter(T.parse_query_terms("query_text")[1], lambda t: F.length(t) <= 2)
-    seen = F.concat(T.tokens("listing_text"), T.tokens(F.coalesce("raw_listing_text", F.lit(""))))
-    missing = F.size(F.array_except(short, seen)) > 0
-    return matches.where(~missing), matches.where(missing)
-
-
-def guardrails(matches: DataFrame) -> DataFrame:
-    """array of demotions: nickname without evidence, accessory-only colour, colour conflict, gold conflict."""
-    q, words = T.canonical_tokens(T.tokens("query_text")), T.canonical_tokens(T.tokens("listing_text"))
-    text = F.concat(F.lit(" "), T.normalize_text("listing_text"), F.lit(" "))
-    panda = F.array_contains(q, "panda") & ~F.array_contains(words, "panda") & ~text.rlike(" white (dial|dials|face) ")
-    accessory = F.array_contains(q, "white") & text.rlike(" white (card|cards|label|labels|paper|papers|sticker|stickers|tag|tags) ") & ~F.regexp_replace(text, "white (card|cards|label|labels|paper|papers|sticker|stickers|tag|tags)", "").contains(" white ")
-    a, b = T.color_set("query_text"), T.color_set("listing_text")
-    color = (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
-    gold = F.arrays_overlap(T.conflict_descriptors(q), words) & ~F.arrays_overlap(q, F.array_intersect(words, F.array(F.lit("rg"), F.lit("wg"))))
-    reasons = F.array_compact(F.array(
-        F.when(panda, F.lit("guardrail.nickname_evidence_missing")), F.when(accessory, F.lit("guardrail.descriptor_context")),
-        F.when(color, F.lit("guardrail.descriptor_conflict")), F.when(gold, F.lit("guardrail.gold_conflict")),
-    ))
-    return matches.withColumn("guardrails", reasons)
-
-
 def image_layout(text: str, raw: str, scope: Column) -> Column:
     """Why a listing has no image."""
     refs = F.regexp_extract_all(F.lower(F.coalesce(F.col(raw), F.lit(""))), F.lit(r"[a-z0-9/.-]*[0-9][a-z0-9/.-]*"), F.lit(0))

@@ -34,11 +34,6 @@ def p24_best_snippet(s, d):
     return rows.select("listing_id", E.snippet("listing_text", "raw").alias("snippet"))
 
 
-@query(MATCH_SQL + """ SELECT m.query_id, m.listing_id, '' AS guardrails FROM m""", "listings_v", "queries_v")
-def p26_guardrails(s, d):
-    return N.guardrails(joined(s, d)).select("query_id", "listing_id", F.array_join("guardrails", ",").alias("guardrails"))
-
-
 @query("SELECT bundle_id, 'stock_list' AS layout FROM bundles_v", "bundles_v")
 def p28_image_layout(s, d):
     b = view(s, d, "bundles_v").withColumn("shown", F.split_part("raw_listing_text", F.lit(" | "), F.lit(2)))
@@ -57,11 +52,6 @@ def f3_prefiltered_match(s, d):
     return N.prefiltered_match(c.join(listings(s, d), "listing_id"), E.has_price("listing_text")).select("query_id", "listing_id")
 
 
-@query(MATCH_SQL + " SELECT query_id, listing_id FROM m", "listings_v", "queries_v")
-def f4_block_final(s, d):
-    return N.block_final(joined(s, d))[0].select("query_id", "listing_id")
-
-
 @query("SELECT listing_id FROM listings_v WHERE contains(lower(concat_ws(' ', listing_id, listing_text, seller, CAST(posted_date AS VARCHAR))), 'blue')", "listings_v")
 def f5_contains_filter(s, d):
     text = F.lower(F.concat_ws(" ", "listing_id", "listing_text", "seller", F.col("posted_date").cast("string")))
