@@ -53,23 +53,23 @@ def with_guardrails(matches: DataFrame, plans: DataFrame, keys: list[str]) -> Da
     stands in the segment. The last two need a query of references with descriptors. A query whose reference isn't in the
     text has no segment, so only the first counts. Matches without a plan have no guardrails.
     """
-    plan = plans.select(*PLAN).dropDuplicates(["query_id"])
-    segments = extract_segments(matches, keys).select(*[F.col(k).alias(f"__{k}") for k in keys], "segment", "reference")
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    rows = matches.join(segments.dropDuplicates([f"__{k}" for k in keys]), same, "left").drop(*[f"__{k}" for k in keys]).join(plan, "query_id", "left")
+    plan = plans.select("query_id", *[F.col(c).alias(f"__{c}") for c in PLAN[1:]]).dropDuplicates(["query_id"])
+    segments = extract_segments(matches, keys).select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col("segment").alias("__segment"), F.col("reference").alias("__reference"))
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    rows = matches.join(segments.dropDuplicates([f"__key_{k}" for k in keys]), same, "left").join(plan, "query_id", "left")
     none = F.array().cast("array<string>")
-    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("nicknames", "required", "conflicts", "refs")})
-    lost = (F.size("refs") > 0) & F.col("reference").isNull()
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("__nicknames", "__required", "__conflicts", "__refs")})
+    lost = (F.size("__refs") > 0) & F.col("__reference").isNull()
     rows = rows.withColumns({
-        "local_words": F.when(lost, none).otherwise(T.tokens("segment")), "__shown": T.normalize_text("listing_text"), "__phrases": _suffix_phrases("required"),
-        "__raw": T.tokens("raw_listing_text"), "__scope": scope_reason("listing_text", "raw_listing_text"), "__asked": T.canonical_tokens(F.col("required")),
+        "local_words": F.when(lost, none).otherwise(T.tokens("__segment")), "__shown": T.normalize_text("listing_text"), "__phrases": _suffix_phrases("__required"),
+        "__raw": T.tokens("raw_listing_text"), "__scope": scope_reason("listing_text", "raw_listing_text"), "__asked": T.canonical_tokens(F.col("__required")),
     })
     rows = rows.withColumns({"__words": F.transform("local_words", T.canonical_token), "__merged": T.canonical_tokens(F.col("local_words"))})
     words, local = F.col("__words"), F.size("local_words") > 0
     holds = lambda d: F.array_contains(words, d) | F.array_contains("__merged", d)
 
     phrase_missing = (F.size("__phrases") > 0) & ~F.exists("__phrases", lambda p: F.regexp_like("__shown", p.pattern))
-    unproved = [F.when(F.array_contains("nicknames", n) & local & ~_shows(n, words), F.lit(f"nickname.missing:{n}")) for n in NICKNAME_PHRASES]
+    unproved = [F.when(F.array_contains("__nicknames", n) & local & ~_shows(n, words), F.lit(f"nickname.missing:{n}")) for n in NICKNAME_PHRASES]
     accessory_query = F.arrays_overlap(T.tokens("query_text"), _words(ACCESSORY_WORDS))
 
     def context(color: str) -> tuple[Column, Column]:
@@ -91,14 +91,14 @@ def with_guardrails(matches: DataFrame, plans: DataFrame, keys: list[str]) -> Da
     evidence = F.concat(*[codes for _, codes in contexts.values()])
     lone = F.array_compact(F.array(*[F.when(only, F.lit(f"context.accessory_color_only:{c}")) for c, (only, _) in contexts.items()]))
     missing = F.exists("__asked", lambda d: (F.size(T.conflict_descriptors(F.array(d))) > 0) & ~holds(d))
-    gold = F.when(missing, F.filter("conflicts", holds)).otherwise(none)
+    gold = F.when(missing, F.filter("__conflicts", holds)).otherwise(none)
     asked_colors = F.array_intersect("__asked", _words(T.COLORS))
     colors = F.array_sort(F.array_except(F.array_intersect("__merged", _words(T.COLORS)), asked_colors))
     colors = F.when((F.size(asked_colors) > 0) & ~F.exists(asked_colors, holds), colors).otherwise(none)
     conflict = F.transform(F.array_distinct(F.concat(gold, colors)), lambda d: F.concat(F.lit("conflict.local_descriptor:"), d))
 
     rows = rows.withColumns({"__nick": F.array_compact(F.array(*unproved)), "__evidence": evidence, "__lone": lone, "__conflict": F.when(local, conflict).otherwise(none)})
-    strict = F.coalesce(F.col("intent_kind").isin(CONTEXT_KINDS), F.lit(False)) & (F.size("required") > 0)
+    strict = F.coalesce(F.col("__intent_kind").isin(CONTEXT_KINDS), F.lit(False)) & (F.size("__required") > 0)
     head = lambda code, *more: F.concat(F.array(F.lit(code)), *more)
     reasons = (
         F.when(phrase_missing, F.array(F.lit("guardrail.brand_model_phrase_missing")))
@@ -106,15 +106,15 @@ def with_guardrails(matches: DataFrame, plans: DataFrame, keys: list[str]) -> Da
         .when(strict & (F.size("__lone") > 0), head("guardrail.descriptor_context", "__lone", "__evidence"))
         .when(strict & (F.size("__conflict") > 0), head("guardrail.descriptor_conflict", "__conflict")).otherwise(F.col("__evidence"))
     )
-    claims = F.transform(F.coalesce("brands", F.array().cast(plan.schema["brands"].dataType)), lambda b: b.confidence)
+    claims = F.transform(F.coalesce("__brands", F.array().cast(plan.schema["__brands"].dataType)), lambda b: b.confidence)
     by_score = [F.when(F.array_contains(claims, c), F.lit(c)) for c in CLAIM_SCORES if c not in ("collection", "nickname")]
     weak = F.get(F.filter(claims, lambda c: c.isin("collection", "nickname")), F.lit(0))
     best = F.coalesce(*by_score, weak)
     score = F.element_at(F.create_map(*[F.lit(x) for kv in CLAIM_SCORES.items() for x in kv]), best)
     rows = rows.withColumns({"guardrail_reasons": reasons, "alias_score": F.coalesce(score, F.lit(0)), "alias_reason": F.concat(F.lit("alias."), best)})
     group = F.exists("guardrail_reasons", lambda r: r.startswith("guardrail.")).cast("int")
-    helpers = [c for c in rows.columns if c.startswith("__")] + ["segment", "reference"] + [c for c in PLAN if c != "query_id"]
-    return rows.withColumn("guardrail_group", group).drop(*[c for c in helpers if c not in matches.columns])
+    helpers = [c for c in rows.columns if c.startswith("__") and c not in matches.columns]
+    return rows.withColumn("guardrail_group", group).drop(*helpers)
 
 
 def block_final(matches: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
+from ..sources.shared import scratch
 
 # Words that don't tell products apart.
 STOP = ["and", "brand", "card", "cert", "full", "hkd", "set", "usd", "used", "watch", "with"]
@@ -29,7 +28,20 @@ def profile(rows: DataFrame) -> DataFrame:
         F.array_distinct(F.filter(toks, T.year_like)).alias("years"),
         F.array_distinct(toks).alias("all_words"),
         T.price_mentions("listing_text").alias("prices"),
-    )
+    ).withColumn("spelling", F.array_join(F.array_sort("words"), " ")).withColumn("letters", _letters("spelling"))
+
+
+def _letters(c: str) -> Column:
+    """How often a text of words has each letter and the blank."""
+    signs = F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz "))
+    return F.transform(signs, lambda x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit(""))))
+
+
+def ratio_bound(a: str, b: str) -> Column:
+    """What the sequence ratio of two spellings can't exceed: matching blocks hold no more of a letter than both texts do."""
+    common = F.aggregate(F.zip_with(f"{a}_letters", f"{b}_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    total = F.length(f"{a}_spelling") + F.length(f"{b}_spelling")
+    return F.when(total == 0, 1.0).otherwise(2.0 * common / total)
 
 
 def _conflict(a: str, b: str) -> Column:
@@ -47,7 +59,8 @@ def similar_pairs(rows: DataFrame, least: float = 0.78, with_ratio: bool = False
     """(query_id, a_listing_id, b_listing_id, a_rank_in, b_rank_in, score): offers of one query that agree in a price.
 
     Blocks are (query, price): the equi-join keeps quadratic work inside a block, and AQE splits a hot one. With
-    with_ratio the pairs whose word overlap falls short are scored again by their sequence ratio.
+    with_ratio the pairs whose word overlap falls short are scored again by their sequence ratio, if the letters that they
+    have in common allow it to be enough.
     """
     p = profile(rows)
     side = lambda s: p.select("query_id", *[F.col(c).alias(f"{s}_{c}") for c in p.columns if c != "query_id"], F.explode_outer("prices").alias("price"))  # noqa: E731  null prices join nothing
@@ -61,9 +74,9 @@ def similar_pairs(rows: DataFrame, least: float = 0.78, with_ratio: bool = False
     both = both.withColumn("score", score)
     keep = ["query_id", "a_listing_id", "b_listing_id", "a_rank_in", "b_rank_in", "score"]
     out = both.where(F.col("score") >= least)
-    if with_ratio:  # Python sees the residual pairs only
-        words = [F.array_join(F.array_sort(c), " ") for c in ("a_words", "b_words")]
-        rest = both.where(F.col("score") < least).withColumn("score", sequence_ratio(*words)).where(F.col("score") >= least)
+    if with_ratio:  # Python sees few pairs
+        rest = both.where((F.col("score") < least) & (ratio_bound("a", "b") >= least))
+        rest = rest.withColumn("score", sequence_ratio(F.col("a_spelling"), F.col("b_spelling"))).where(F.col("score") >= least)
         out = out.unionByName(rest)
     return out.select(*keep).distinct()
 
@@ -81,8 +94,23 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+#: What makes an offer the one shown for its group, before the separators in its text, its rank and its id; of these
+#: columns, those count that the rows have.
+PRIMARY_ORDER = ["quality_group", "severity", "-reference_score", "-descriptor_score", "-price_score"]
+SEPARATORS = ["- [ ]", " • ", " | "]
+
+
+def primary_key(columns: list[str]) -> Column:
+    """Struct whose least value in a group is its primary's."""
+    keys = [-F.col(c[1:]) if c[0] == "-" else F.col(c) for c in PRIMARY_ORDER if c.strip("-") in columns]
+    text = F.coalesce(F.col("listing_text"), F.lit("")) if "listing_text" in columns else F.lit("")
+    marks = sum((((F.length(text) - F.length(F.replace(text, F.lit(m)))) / len(m)).cast("int") for m in SEPARATORS), F.lit(0))
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate([*keys, marks])], "rank_in", "listing_id")
+
+
 def group_similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """rows with group_id: connected components of the pairs within a query, named by their first rank.
+    """rows with group_id, group_size and is_primary: connected components of the pairs within a query, named by their
+    first rank; the primary is the best by PRIMARY_ORDER, then fewest separators, then rank.
 
     Transitive by design. An offer takes the least label of its neighbours, hands it to the offer that named it so far,
     and then takes its new namesake's label, until no label moves: reach about doubles each round, whatever the length
@@ -90,8 +118,8 @@ def group_similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     round.
     """
     spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # a cluster names its shared folder in spark.checkpoint.dir
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lotwise-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch(spark, "groups"))  # in the shared folder, or an error on a cluster that names none
     labels = rows.select("query_id", "listing_id", F.struct("rank_in", "listing_id").alias("label")).checkpoint()
     both = pairs.select("query_id", F.col("a_listing_id").alias("x"), F.col("b_listing_id").alias("y"))
     both = both.unionByName(both.select("query_id", F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
@@ -110,4 +138,5 @@ def group_similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
             break
     w = Window.partitionBy("query_id", "group_id")
     out = rows.join(labels.select("query_id", "listing_id", F.col("label.listing_id").alias("group_id")), ["query_id", "listing_id"])
-    return out.withColumns({"group_size": F.count("*").over(w), "is_primary": F.row_number().over(w.orderBy("rank_in", "listing_id")) == 1})
+    key = primary_key(out.columns)
+    return out.withColumns({"group_size": F.count("*").over(w), "is_primary": key == F.min(key).over(w)})
