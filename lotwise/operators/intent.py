@@ -7,12 +7,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
-
-
-def prefiltered_match(matches: DataFrame, strict: Column) -> DataFrame:
-    """Candidates of a filtered source: where any row of a query passes ``strict``, only those; else all of them."""
-    any_ = F.max(strict.cast("int")).over(Window.partitionBy("query_id"))
-    return matches.withColumn("__any", any_).where((F.col("__any") == 0) | strict).drop("__any")
+from ..sources.shared import written
+from . import match as M
+from . import rulebook as R
+
+
+# Descriptors that a source's filter widens, and those it must not lose; how many images stand in.
+WIDENED, STRICT_ALIASES, IMAGE_LIMIT = ["panda"], ["choco"], 6
+STRICT = ["strict_non_color_descriptor", "strict_color_alias"]
+
+
+def prefilter_policy(queries: DataFrame) -> DataFrame:
+    """queries with refs, descs, policy (how far a filtered source is trusted), matching_text and allows_image.
+
+    A widened descriptor is left to the source. Without descriptors, with a widened one only, or with colours beside no
+    specific reference the source's rows pass; any other descriptor, and colours of a specific reference, must match.
+    """
+    q = R.classify_intent(queries)
+    words = lambda xs: F.array(*map(F.lit, xs))
+    q = q.withColumn("own", F.array_except("descs", words(WIDENED))).withColumn("strange", F.array_except("own", T.color_set("query_text")))
+    specific = F.exists("refs", lambda r: r.rlike("[a-z/]") | (F.length(r) >= 5))
+    policy = (
+        F.when(F.size("descs") == 0, "coarse_no_descriptor").when(F.size("strange") > 0, STRICT[0])
+        .when((F.size("own") > 0) & ~specific, "coarse_color_only").when((F.size("own") > 0) & F.arrays_overlap("own", words(STRICT_ALIASES)), STRICT[1])
+        .when(F.size("own") > 0, STRICT[0]).otherwise("coarse_pass_through_alias")
+    )
+    kept = F.filter("descs", lambda t: ~t.isin(WIDENED))
+    text = F.when(policy.isin(STRICT) & (F.size(kept) < F.size("descs")), F.array_join(F.concat("refs", kept), " ")).otherwise(F.col("query_text"))
+    few = F.size(F.array_except("required", words(WIDENED))) <= 1
+    return q.withColumns({"policy": policy, "matching_text": text, "allows_image": few}).drop("own", "strange")
+
+
+def prefiltered_match(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, listing_id, policy, kept_by) of a filtered source's candidates that stay.
+
+    candidates: query_id, listing_id, rank_in, listing_text, image_url; queries: query_id, query_text. Requests and
+    listings of other colours go first. Searches for a reference alone keep its matches where there are any, else all;
+    coarse policies keep all; strict ones keep the matches, or, where there is none and one descriptor at most is asked
+    for, the first IMAGE_LIMIT listings with an image that match the reference. Matches are found by the index joins of
+    match_listings; whether a query has any is a join on the queries, not a window over their candidates.
+    """
+    q = prefilter_policy(queries)
+    rows = candidates.select("query_id", "listing_id", "rank_in", "listing_text", "image_url").join(q.select("query_id", "query_text", "refs", "policy", "allows_image"), "query_id")
+    rows = written(M.drop_color_conflicts(rows.where(~T.is_non_sale("listing_text"))), "prefiltered")
+    pairs = ["query_id", "listing_id"]
+    listings = rows.select("listing_id", "listing_text").dropDuplicates(["listing_id"])
+    asked = q.where(F.col("policy").isin(STRICT) | ((F.size("descs") == 0) & (F.size("refs") > 0))).select("query_id", F.col("matching_text").alias("query_text"))
+    hits = written(rows.join(M.match_listings(asked, listings).select(*pairs).distinct(), pairs, "left_semi"), "prefilter-hits")
+    answered = hits.select("query_id").distinct()
+    coarse = rows.where(~F.col("policy").isin(STRICT) & ~((F.size("refs") > 0) & (F.col("policy") == "coarse_no_descriptor")))
+    alone = rows.where((F.size("refs") > 0) & (F.col("policy") == "coarse_no_descriptor")).join(answered, "query_id", "left_anti")
+    open_ = rows.where(F.col("policy").isin(STRICT) & F.col("allows_image") & (F.coalesce("image_url", F.lit("")) != "")).join(answered, "query_id", "left_anti")
+    named = q.join(open_.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.array_join("refs", " ").alias("query_text")).where("query_text <> ''")
+    shown = open_.join(M.match_listings(named, listings).select(*pairs).distinct(), pairs, "left_semi")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("rank_in", "listing_id"))
+    shown = shown.withColumn("n", first).where(F.col("n") <= IMAGE_LIMIT)
+    out = [(hits, "match"), (coarse, "source"), (alone, "source"), (shown, "image")]
+    parts = [df.select(*pairs, "policy", F.lit(by).alias("kept_by")) for df, by in out]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def image_layout(text: str, raw: str, scope: Column) -> Column:

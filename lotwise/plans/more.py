@@ -45,11 +45,27 @@ def f2_drop_color_conflicts(s, d):
     return M.drop_color_conflicts(joined(s, d)).select("query_id", "listing_id")
 
 
-@query(MATCH_SQL + """, c AS (SELECT DISTINCT query_id, listing_id FROM cand), x AS (SELECT c.*, listing_text LIKE '%HKD%' AS ok FROM c JOIN l ON c.listing_id = l.listing_id)
-SELECT query_id, listing_id FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM x) WHERE ok OR NOT any_ok""", "listings_v", "queries_v")
+_WORD = "split_part(listing_text, ' ', {})"
+_COLORS = "(black|blue|champ|champagne|choco|chocolate|gray|green|grey|purple|red|silver|white)"
+
+
+@query(f""", c AS (SELECT p_partkey AS query_id, CAST(p_partkey // 5 % 6 AS INT) AS k, listing_id, image_url, regexp_matches(lower(listing_text), '\\b{_COLORS}\\b') AS colored, regexp_matches(listing_text, '\\bblue\\b') AS blue
+  FROM part JOIN listings_v ON {_WORD.format(2)} = lpad(CAST(p_partkey AS VARCHAR), 5, '0') || substr(p_type, 1, 2) WHERE p_partkey % 5 = 0),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY listing_id) AS n FROM c WHERE k = 4 AND NOT colored AND image_url IS NOT NULL)
+SELECT query_id, listing_id, 'coarse_no_descriptor' AS policy, 'match' AS kept_by FROM c WHERE k = 0
+UNION ALL SELECT query_id, listing_id, 'coarse_pass_through_alias', 'source' FROM c WHERE k = 1
+UNION ALL SELECT query_id, listing_id, 'coarse_color_only', 'source' FROM c WHERE k = 2 AND (blue OR NOT colored)
+UNION ALL SELECT query_id, listing_id, 'strict_non_color_descriptor', 'match' FROM c WHERE k = 3
+UNION ALL SELECT query_id, listing_id, 'strict_color_alias', 'image' FROM x WHERE n <= 6""", "listings_v")
 def f3_prefiltered_match(s, d):
-    c = M.reference_candidates(view(s, d, "queries_v"), listings(s, d)).select("query_id", "listing_id").distinct()
-    return N.prefiltered_match(c.join(listings(s, d), "listing_id"), E.has_price("listing_text")).select("query_id", "listing_id")
+    """Every policy of filtered sources, over the listings of every fifth part as the source's answers to a search for it."""
+    part = table(s, d, "part").where("p_partkey % 5 = 0")  # a search of its own for each, as the query log has one for every tenth
+    ref = F.concat(F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.substring("p_type", 1, 2))
+    word = F.split_part("p_name", F.lit(" "), F.lit(1))
+    texts = [ref, F.concat_ws(" ", ref, F.lit("panda")), F.lit("9999 blue"), F.concat_ws(" ", ref, word, F.lit("panda")), F.concat_ws(" ", ref, F.lit("choco")), F.concat_ws(" ", ref, word, F.lit("zzz"))]
+    q = part.select(F.col("p_partkey").alias("query_id"), ref.alias("ref"), F.element_at(F.array(*texts), (F.expr("p_partkey div 5") % 6).cast("int") + 1).alias("query_text"))
+    found = listings(s, d).withColumn("ref", F.split_part("listing_text", F.lit(" "), F.lit(2))).join(q.select("query_id", "ref"), "ref")
+    return N.prefiltered_match(found, q)
 
 
 @query("SELECT listing_id FROM listings_v WHERE contains(lower(concat_ws(' ', listing_id, listing_text, seller, CAST(posted_date AS VARCHAR))), 'blue')", "listings_v")
