@@ -167,9 +167,3 @@ def dominant_branch(times: DataFrame) -> DataFrame:
     """First branch with the largest time of each query (query, branch, ms)."""
     w = Window.partitionBy("query").orderBy(F.desc("ms"), "branch")
     return times.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
-def contract_violations(rows: DataFrame, rules: dict[str, Column], key: list[str]) -> DataFrame:
-    """(key, rule) of every rule a row breaks."""
-    broken = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))
-    return rows.select(*key, F.explode(broken).alias("rule"))

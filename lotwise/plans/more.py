@@ -74,12 +74,6 @@ def f5_contains_filter(s, d):
     return listings(s, d).where(text.contains("blue")).select("listing_id")
 
 
-@query("SELECT listing_id, unnest(list_filter_) AS rule FROM (SELECT listing_id, [x for x in [CASE WHEN image_url IS NULL THEN 'image.required' END, CASE WHEN source_url NOT LIKE '/%' THEN 'url.relative' END] if x IS NOT NULL] AS list_filter_ FROM listings_v)", "listings_v")
-def f7_contract_violations(s, d):
-    rules = {"image.required": F.col("image_url").isNull(), "url.relative": ~F.col("source_url").startswith("/")}
-    return A.contract_violations(listings(s, d), rules, ["listing_id"])
-
-
 @query("SELECT event_id, CASE WHEN fuzzy_score < 45 THEN 'weak.reference,weak.descriptor_overlap,weak.text' WHEN fuzzy_score < 60 THEN 'weak.reference,weak.descriptor_overlap' ELSE 'weak.descriptor_overlap' END AS reasons FROM audit_v", "audit_v")
 def f8_weak_reasons(s, d):
     return view(s, d, "audit_v").select("event_id", F.array_join(E.weak_match_reasons("fuzzy_score", "fuzzy_score", "fuzzy_score"), ",").alias("reasons"))
