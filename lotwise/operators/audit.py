@@ -110,11 +110,58 @@ def query_audit_summary(rows: DataFrame) -> DataFrame:
     return out.withColumn("image_missing_rate", rate(F.col("image_missing"), F.col("rows")))
 
 
-def funnel(events: DataFrame) -> DataFrame:
-    """Counts of every stage per query in one pass, and whether the parse was cut at 200."""
-    n = lambda s: F.count_if(F.col("stage") == s).alias(s)
-    out = events.groupBy("query").agg(*map(n, ("parsed", "matched", "weak_match", "dedupe_drop", "final")))
-    return out.withColumn("truncated", F.col("parsed") >= 200)
+STAGES = ["raw", "parsed", "matched", "weak_match", "ambiguous_candidate", "converted", "dedupe_drop", "refined", "blocked_final", "final"]
+EVENT = {
+    "listing_id": "string", "rank": "int", "decision": "string", "reason_codes": "array<string>", "fuzzy_score": "int", "guardrail_action": "string",
+}
+DECISIONS = {"weak_match": "warn", "ambiguous_candidate": "reject", "dedupe_drop": "drop", "blocked_final": "exclude"}
+
+
+def funnel_events(stages: dict[str, DataFrame], key: str = "query_id") -> DataFrame:
+    """(key, stage, EVENT's columns): the rows of every stage in one table; columns that a stage lacks are null.
+
+    A stage's decision is its own column, else DECISIONS, else `keep`; reason codes default to none. Stages are named as
+    in STAGES; anything else is refused.
+    """
+    if unknown := set(stages) - set(STAGES):
+        raise ValueError(f"no such stage: {sorted(unknown)}")
+    parts = []
+    for stage, df in stages.items():
+        own = {c: F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t) for c, t in EVENT.items()}
+        own["decision"] = F.coalesce(own["decision"], F.lit(DECISIONS.get(stage, "keep")))
+        own["reason_codes"] = F.coalesce(own["reason_codes"], F.array().cast("array<string>"))
+        own["guardrail_action"] = F.coalesce(own["guardrail_action"], F.lit("none"))
+        parts.append(df.select(key, F.lit(stage).alias("stage"), *[c.alias(n) for n, c in own.items()]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def funnel(events: DataFrame, key: str = "query", cut: int = 200) -> DataFrame:
+    """Per key: raw, parsed, matched, converted, unique_latest, unique_text, final, dropped, weak, ambiguous, blocked,
+    truncated (the parse reached ``cut``) and rejections, a map of reason codes to the rows that they turned away.
+
+    unique_latest are converted rows that no `dedupe.latest` drop took, unique_text those that no other drop took either.
+    Counts are summed by (key, stage, codes) before keys meet, and the map by (key, code).
+    """
+    none = F.array().cast("array<string>")
+    codes = F.coalesce(F.col("reason_codes"), none) if "reason_codes" in events.columns else none
+    decision = F.col("decision") if "decision" in events.columns else F.lit(None).cast("string")
+    rows = events.select(key, "stage", codes.alias("codes"), decision.alias("decision")).groupBy(key, "stage", "codes", "decision").agg(F.count("*").alias("n"))
+    n = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    at = lambda stage: n(F.col("stage") == stage)
+    latest = n((F.col("stage") == "dedupe_drop") & F.array_contains("codes", "dedupe.latest"))
+    out = rows.groupBy(key).agg(
+        *[at(s).alias(s) for s in ("raw", "parsed", "matched", "converted")], (at("converted") - latest).alias("unique_latest"),
+        (at("converted") - at("dedupe_drop")).alias("unique_text"), at("final").alias("final"), at("dedupe_drop").alias("dropped"), at("weak_match").alias("weak"),
+        at("ambiguous_candidate").alias("ambiguous"), at("blocked_final").alias("blocked"),
+    )
+    away = rows.where(F.col("decision").isin("reject", "drop", "exclude") | (F.col("decision").isNull() & F.col("stage").isin("dedupe_drop", "ambiguous_candidate", "blocked_final")))
+    away = away.select(key, F.explode_outer("codes").alias("code"), "n").where("code IS NOT NULL").groupBy(key, "code").agg(F.sum("n").alias("n"))
+    away = away.groupBy(F.col(key).alias("__key")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("rejections"))
+    out = out.join(away, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    return out.withColumns({"truncated": F.col("parsed") >= cut, "rejections": F.coalesce("rejections", F.create_map().cast("map<string,bigint>"))})
 
 
 def branch_contribution(final: DataFrame, branches: DataFrame) -> DataFrame:

@@ -168,14 +168,6 @@ def u1_merge_candidates(s, d):
     return D.merge_candidates(rank(M.match_listings(q, ls)), rank(M.reference_candidates(q, ls)), ["listing_id"]).select("listing_id", "branch")
 
 
-@query(RANK_SQL + """ SELECT 'matched' AS stage, query_id, count(*) AS n FROM m GROUP BY query_id UNION ALL SELECT 'final', query_id, count(*) FROM r WHERE rank <= 5 GROUP BY query_id""", "listings_v", "queries_v")
-def u4_funnel_events(s, d):
-    ranked = E.rank_by_quality(E.score_components(joined(s, d)))
-    tag = lambda df, stage: df.select("query_id", "listing_id", F.lit(stage).alias("stage"))
-    events = tag(ranked, "matched").unionByName(tag(E.top_k(ranked, 5), "final"))
-    return events.groupBy("stage", "query_id").agg(F.count("*").alias("n"))
-
-
 @query(""", k AS (SELECT id, sha256(query_text || listing_text) AS key, reason, severity, CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS issue_id FROM suspicious_v),
 o AS (SELECT key, max_by(reason, id) AS reason, max(issue_id) AS issue_id FROM k WHERE id % 2 = 0 GROUP BY key), n AS (SELECT key, max_by(reason, id) AS reason, max_by(issue_id, id) FILTER (id % 3 = 0) AS issue_id FROM k WHERE id % 2 = 1 GROUP BY key)
 SELECT key, CASE WHEN n.key IS NOT NULL THEN n.reason ELSE o.reason END AS reason, coalesce(n.issue_id, o.issue_id) AS issue_id FROM o FULL JOIN n USING (key)""", "suspicious_v")

@@ -392,11 +392,6 @@ def a9_query_audit_summary(s, d):
     return out.select("query", "rows", "image_missing", "stock_list", "image_missing_rate")
 
 
-@query("SELECT query, count(*) FILTER (stage = 'parsed') AS parsed, count(*) FILTER (stage = 'matched') AS matched, count(*) FILTER (stage = 'weak_match') AS weak_match, count(*) FILTER (stage = 'dedupe_drop') AS dedupe_drop, count(*) FILTER (stage = 'final') AS final, count(*) FILTER (stage = 'parsed') >= 200 AS truncated FROM audit_v GROUP BY query", "audit_v")
-def a10_funnel(s, d):
-    return A.funnel(view(s, d, "audit_v"))
-
-
 @query("SELECT query, min(fuzzy_score) AS low, round(avg(fuzzy_score), 2) AS mean FROM audit_v WHERE stage = 'final' GROUP BY query", "audit_v")
 def a12_fuzzy_summary(s, d):
     return A.fuzzy_summary(view(s, d, "audit_v").where("stage = 'final'"))

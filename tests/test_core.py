@@ -16,7 +16,7 @@ from lotwise.operators import issues as I
 from lotwise.operators import match as M
 from lotwise.operators import similar as S
 from lotwise.operators.suspicious import with_issues
-from lotwise.plans import contracts, files, guards, markup, more, rulebook, segments, streams  # noqa: F401  they register their queries
+from lotwise.plans import contracts, files, funnels, guards, markup, more, rulebook, segments, streams  # noqa: F401  they register their queries
 from lotwise.plans.queries import ORACLES, QUERIES
 from lotwise.sources.views import view
 
