@@ -402,9 +402,9 @@ def ngram_join(
             continue
         new = stage(_verify(found, parts, percent), "ngram-links")
         tested = tested.unionByName(found)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
+        if not new.isEmpty():  # components so far are stars already: only what is new takes rounds
+            stars = labels.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            labels = components(stars.unionByName(new))
     group = classes.join(small(labels), classes.c == labels.node, "left").select("c", "d", "rep", F.coalesce("root", "c").alias("root"))
     least = group.groupBy("root").agg(F.min("rep").alias("component_id"))
     group = group.join(least, "root").select("c", "d", "component_id")
