@@ -10,8 +10,7 @@ from ..operators import audit as A
 from ..operators import evidence as E
 from ..operators import match as M
 from ..sources.shared import written
-from ..sources.views import view
-from .queries import RANK_SQL, joined, listings, norm, query
+from .queries import LISTING, RANK_SQL, joined, norm, query, searched
 
 _STAGE = "[" + ", ".join(f"'{x}'" for x in A.STAGES) + "]"
 _CODES = "CASE event_id // 10 % 4 WHEN 0 THEN ['dedupe.latest'] WHEN 1 THEN ['dedupe.text', 'weak.text'] WHEN 2 THEN [] END"
@@ -39,9 +38,9 @@ UNION ALL SELECT 'converted', query_id, count(*), 0 FROM m GROUP BY query_id UNI
 UNION ALL SELECT 'final', query_id, count(*), 0 FROM f WHERE place <= 5 GROUP BY query_id""", "listings_v", "queries_v")
 def u4_funnel_events(s, d):
     """The stages of a run over all queries: what came, was read, matched, converted, dropped as a repeat and shown."""
-    q, ls = view(s, d, "queries_v"), listings(s, d)
-    raw = M.reference_candidates(q, ls).select("query_id", "listing_id").distinct()
-    matched = written(E.score_components(joined(s, d)), "funnel-matches")
+    q, _, index = searched(s, d, LISTING)
+    raw = M.reference_pairs(q, index)
+    matched = written(E.score_components(joined(s, d, index)), "funnel-matches")
     first = F.row_number().over(Window.partitionBy("query_id", T.normalize_text("listing_text")).orderBy("listing_id"))
     once = matched.withColumn("n", first)
     dropped = once.where("n > 1").withColumn("reason_codes", F.array(F.lit("dedupe.text")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import guardrails as G
 from ..operators import rulebook as R
+from ..sources.shared import written
 from ..sources.views import view
 from .queries import RANK_SQL, joined, query, table
 from .segments import _choice, _values
@@ -65,6 +66,6 @@ def f4_block_final(s, d):
 @query(RANK_SQL + " SELECT query_id, listing_id, CAST(rank AS INT) AS rank FROM r", "listings_v", "queries_v")
 def w4_rank_by_plan(s, d):
     """The quality order with all twelve keys, the brand's claim and guardrails among them."""
-    matches, keys = joined(s, d), ["query_id", "listing_id"]
+    matches, keys = written(joined(s, d), "matches"), ["query_id", "listing_id"]
     guarded = G.with_guardrails(matches, R.annotate_query_plan(view(s, d, "queries_v")), keys)
     return E.rank_by_quality(E.with_plan_scores(E.score_components(matches), guarded, keys)).select("query_id", "listing_id", "rank")
