@@ -23,6 +23,7 @@ from .textvec import text_chunks
 SEGMENTS = (
     "part int, seq int, n_docs int, n_ids long, doc_ids binary, known binary, lengths binary, words binary, offsets binary"
 )
+CHUNK = 1 << 19  # bytes of text encoded at a time: a worker holds some fifty times this beside its memory of units
 _ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
 
 
@@ -50,7 +51,7 @@ def encode_segments(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_id
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for batch in batches:
-            for a, b, data, offsets in text_chunks(batch.column(1)):
+            for a, b, data, offsets in text_chunks(batch.column(1), CHUNK):
                 ids, counts = enc.encode(data, offsets)
                 ends, done = np.cumsum(counts), 0  # done: documents of this chunk that are in a segment
                 while done < b - a:

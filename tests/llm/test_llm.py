@@ -416,3 +416,21 @@ def test_pipeline_stages_take_effect(spark, tiny):
         seen.append(docs.count())
     assert seen[0] > seen[1] >= seen[2] > 0 and seen[3] > 0
     assert p.STAGES[-1][1](spark, docs, tiny).count() == seen[3]
+
+
+def test_encoder_needs_little_memory_beside_its_units():
+    import tracemalloc
+
+    import pyarrow as pa
+    from lotwise.llm import tokens
+    from lotwise.llm.encoder import ChunkEncoder
+    from lotwise.llm.textvec import text_chunks
+
+    column = pa.array(["some words of a text, and more of them " * 40] * 2000)
+    enc = ChunkEncoder(tokens.default_tokenizer(), 2)
+    tracemalloc.start()
+    for _, _, data, offsets in text_chunks(column, tokens.CHUNK):
+        enc.encode(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
