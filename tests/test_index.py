@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lotwise.functions import text as T
 from lotwise.operators import match as M
 
 
@@ -48,3 +49,28 @@ def test_more_keys_than_are_sent_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(M, "SENT", 0)
     monkeypatch.setattr(M, "QUERIES_SENT", 0)
     assert sorted(map(tuple, M.match_listings(q, ls).collect())) == want
+
+
+def test_local_words_by_one_pattern(spark):
+    rng = random.Random(5)
+    toks = ["2021", "77k", "1.5m", "hkd900", "900hkd", "hkd", "n12", "n12/2020", "12/20", "2020-11y", "5711", "571", "57-11", "5711/1a", "126500ln", "19991", "ab12", "a1",
+            "grey", "choco", "cho", "rose", "gold", "white", "mother", "of", "pearl", "rose-gold", "blau"]
+    rows = [(i, " ".join(rng.choices(toks, k=rng.randint(0, 18))), rng.randint(0, 5)) for i in range(3000)] + [(3000, None, 0)]
+    df = spark.createDataFrame(rows, "i int, t string, pos int").withColumn("toks", T.tokens("t"))
+    got = df.select(M.local_words("t", "pos").alias("a"), M._local_words("toks", "pos", 12).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(len(r.a) > 2 for r in got) > 500
+
+
+def test_folding_of_plain_texts_skips_nothing(spark):
+    df = spark.createDataFrame([("ÀB\u0301 Éß K",), ("\u212a2 E\u0301",), ("AB c",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(T.fold("t")).collect()] == ["ab eß k", "k2 e", "ab c", "", ""]
+
+
+def test_listings_are_read_once_where_every_search_names_a_reference(spark):
+    q, ls = _rows(spark)
+    named = q.where("query_text <> 'rot blue'")
+    both = M.match_listings(q, ls)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan(both) and "Union" not in plan(M.match_listings(named, ls))
+    want = {tuple(r) for r in both.join(named.select("query_id"), "query_id", "left_semi").collect()}
+    assert {tuple(r) for r in M.match_listings(named, ls).collect()} == want and want
