@@ -9,7 +9,7 @@ from ..operators import guardrails as G
 from ..operators import rulebook as R
 from ..sources.shared import written
 from ..sources.views import view
-from .queries import RANK_SQL, joined, query, table
+from .queries import RANK_SQL, dealt, joined, query
 from .segments import _choice, _values
 
 _PHRASE, _NICK, _CONTEXT, _CONFLICT = (f"guardrail.{x}" for x in ("brand_model_phrase_missing", "nickname_evidence_missing", "descriptor_context", "descriptor_conflict"))
@@ -40,7 +40,7 @@ CASES = [
 def cases(s, d):
     """A case of CASES for every part, with the plans of its searches."""
     at = lambda i: F.replace(_choice([c[i] for c in CASES], "p_partkey"), F.lit("NAME"), F.replace("p_name", F.lit("blue"), F.lit("blau")))
-    plain = table(s, d, "part").withColumn("p_name", F.regexp_replace("p_name", "^[a-z]+", "ding"))
+    plain = dealt(s, d, "part").withColumn("p_name", F.regexp_replace("p_name", "^[a-z]+", "ding"))
     rows = plain.select(F.col("p_partkey").alias("query_id"), at(0).alias("query_text"), at(1).alias("listing_text"), at(2).alias("raw_listing_text"))
     plans = R.annotate_query_plan(rows.select("query_id", "query_text"))
     return G.with_guardrails(rows, plans, ["query_id"]), plans
