@@ -74,3 +74,14 @@ def test_listings_are_read_once_where_every_search_names_a_reference(spark):
     assert "Union" in plan(both) and "Union" not in plan(M.match_listings(named, ls))
     want = {tuple(r) for r in both.join(named.select("query_id"), "query_id", "left_semi").collect()}
     assert {tuple(r) for r in M.match_listings(named, ls).collect()} == want and want
+
+
+def test_classes_of_more_words_than_stand_beside_give_the_same(spark, monkeypatch):
+    q, ls = _rows(spark)
+    q = q.unionByName(spark.createDataFrame([(50, "blue rot"), (51, "rot"), (52, "ab")], q.schema))
+    want = sorted(map(tuple, M.descriptor_classes(q, ls).collect()))
+    pairs, of = [w[1:] for w in want if w[0] == "pair"], lambda kind: [w[1:] for w in want if w[0] == kind]
+    whole = sorted((int(i), k) for a, b in pairs for i, x in of("query") if x == a for k, y in of("listing") if y == b)
+    assert whole == sorted(map(tuple, M.descriptor_candidates(q, ls).collect())) and len(pairs) < len(whole)
+    monkeypatch.setattr(M, "WORDS_BESIDE", 0)
+    assert sorted(map(tuple, M.descriptor_classes(q, ls).collect())) == want
