@@ -85,3 +85,19 @@ def test_classes_of_more_words_than_stand_beside_give_the_same(spark, monkeypatc
     assert whole == sorted(map(tuple, M.descriptor_candidates(q, ls).collect())) and len(pairs) < len(whole)
     monkeypatch.setattr(M, "WORDS_BESIDE", 0)
     assert sorted(map(tuple, M.descriptor_classes(q, ls).collect())) == want
+
+
+def test_lengths_of_keys_drop_no_place(spark, monkeypatch):
+    q, ls = _rows(spark)
+    row = lambda r: (r.listing_id, r.pos, r.k, tuple(r.local), r.non_sale)
+    got = sorted(map(row, M.reference_index(q, ls).collect()))
+    plain, none = q.where("query_id IN (0, 6, 7)"), q.where("query_id = 8")
+    few = sorted(map(row, M.reference_index(plain, ls).collect()))
+    seen = []
+    cut = M._asked_for
+    monkeypatch.setattr(M, "_asked_for", lambda rows, *a: seen.append(rows.count()) or cut(rows, *a))
+    assert sorted(map(row, M.reference_index(plain, ls).collect())) == few and M.reference_index(none, ls).count() == 0
+    monkeypatch.setattr(M, "LENGTHS", 0)  # more lengths than are looked at: every place is spelled
+    assert sorted(map(row, M.reference_index(q, ls).collect())) == got and got
+    assert sorted(map(row, M.reference_index(plain, ls).collect())) == few and few
+    assert seen[0] < seen[-1]  # fewer keys are spelled for searches of few lengths
