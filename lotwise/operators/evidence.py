@@ -114,26 +114,42 @@ def snippet(query: str, raw: str) -> Column:
     return F.array_max(ranked).p
 
 
+def search_parts(queries: DataFrame) -> DataFrame:
+    """queries with what score_components needs of query_text, worked out once a query (SEARCH_PARTS)."""
+    refs, descs = T.parse_query_terms("query_text")
+    return queries.withColumns({"__refs": refs, "__descs": descs, "__colors": T.color_set("query_text")})
+
+
+SEARCH_PARTS = ["__refs", "__descs", "__colors"]
+#: score_components' columns.
+COMPONENTS = [
+    "quality_group", "severity", "conflict", "date_group", "reference_score", "descriptor_score", "price_score", "scope_score", "image_score",
+]
+
+
 def score_components(matches: DataFrame) -> DataFrame:
-    """matches (query_text, listing_text, raw_listing_text, image_url, posted_date, ...) with the ranking's components."""
+    """matches (query_text, listing_text, raw_listing_text, image_url, posted_date, ...) with the ranking's components.
+
+    Rows with search_parts' columns need no query_text and lose those.
+    """
     scope = scope_reason("listing_text", "raw_listing_text")
     group, severity = quality(F.col("issues"))
-    refs, descs = T.parse_query_terms("query_text")
-    words = T.canonical_tokens(T.tokens("listing_text"))
-    q, seen = T.color_set("query_text"), T.color_set("listing_text")
-    out = with_issues(matches, "listing_text", "raw_listing_text")
+    rows = matches if set(SEARCH_PARTS) <= set(matches.columns) else search_parts(matches)
+    rows = rows.withColumn("__words", T.canonical_words(T.normalize_text("listing_text")))  # once for three components
+    q, seen = F.col("__colors"), F.array_intersect("__words", F.array(*map(F.lit, T.COLORS)))
+    out = with_issues(rows, "listing_text", "raw_listing_text")
     return out.withColumns(
         {
             "quality_group": group, "severity": severity,
             "conflict": ((F.size(q) > 0) & (F.size(seen) > 0) & ~F.arrays_overlap(q, seen)).cast("int"),
             "date_group": F.col("posted_date").isNull().cast("int"),
-            "reference_score": (F.size(F.array_intersect(refs, words)) > 0).cast("int"),
-            "descriptor_score": F.size(F.array_intersect(descs, words)),
+            "reference_score": (F.size(F.array_intersect("__refs", "__words")) > 0).cast("int"),
+            "descriptor_score": F.size(F.array_intersect("__descs", "__words")),
             "price_score": has_price("listing_text").cast("int"),
             "scope_score": F.element_at(F.create_map(*[F.lit(x) for kv in SCOPE_SCORE.items() for x in kv]), scope),
             "image_score": F.when(image_reason("image_url", scope) == "image.direct", 2).otherwise(0),
         }
-    ).drop("issues")
+    ).drop("issues", "__words", *SEARCH_PARTS)
 
 
 def with_plan_scores(scored: DataFrame, guarded: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,7 +169,7 @@ RANK_ORDER = [
 ]
 
 
-def rank_by_quality(scored: DataFrame, query: str = "query_id") -> DataFrame:
+def rank_by_quality(scored: DataFrame, query: str | list[str] = "query_id") -> DataFrame:
     """rank: position in the query's quality order (conflicts before severity), ties by input order; keys that scored lacks are left out."""
     order = [F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc() for c in RANK_ORDER if c.strip("-") in scored.columns]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
