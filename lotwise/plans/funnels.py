@@ -10,7 +10,7 @@ from ..operators import audit as A
 from ..operators import evidence as E
 from ..operators import match as M
 from ..sources.shared import written
-from .queries import LISTING, RANK_SQL, joined, norm, query, searched
+from .queries import RANK_SQL, SCORED, norm, query, scored, searched
 
 _STAGE = "[" + ", ".join(f"'{x}'" for x in A.STAGES) + "]"
 _CODES = "CASE event_id // 10 % 4 WHEN 0 THEN ['dedupe.latest'] WHEN 1 THEN ['dedupe.text', 'weak.text'] WHEN 2 THEN [] END"
@@ -38,13 +38,15 @@ UNION ALL SELECT 'converted', query_id, count(*), 0 FROM m GROUP BY query_id UNI
 UNION ALL SELECT 'final', query_id, count(*), 0 FROM f WHERE place <= 5 GROUP BY query_id""", "listings_v", "queries_v")
 def u4_funnel_events(s, d):
     """The stages of a run over all queries: what came, was read, matched, converted, dropped as a repeat and shown."""
-    q, _, index = searched(s, d, LISTING)
+    q, _, index = searched(s, d, SCORED)
     raw = M.reference_pairs(q, index)
-    matched = written(E.score_components(joined(s, d, index)), "funnel-matches")
-    first = F.row_number().over(Window.partitionBy("query_id", T.normalize_text("listing_text")).orderBy("listing_id"))
-    once = matched.withColumn("n", first)
-    dropped = once.where("n > 1").withColumn("reason_codes", F.array(F.lit("dedupe.text")))
-    final = E.top_k(E.rank_by_quality(once.where("n = 1").drop("n")), 5)
-    stages = {"raw": raw, "parsed": raw, "matched": matched, "converted": matched, "dedupe_drop": dropped, "final": final}
+    matched = scored(s, d, index, said=T.normalize_text("listing_text"))
+    first = F.row_number().over(Window.partitionBy("query_id", "said").orderBy("listing_id")) == 1
+    # matches are dealt by query already: repeats and ranks need no shuffle more, and one narrow table feeds four stages
+    ranked = E.rank_by_quality(matched.withColumn("first", first), ["query_id", "first"])
+    ranked = written(ranked.select("query_id", "listing_id", "first", "rank"), "funnel-matches")
+    dropped = ranked.where("NOT first").withColumn("reason_codes", F.array(F.lit("dedupe.text")))
+    final = E.top_k(ranked.where("first"), 5)
+    stages = {"raw": raw, "parsed": raw, "matched": ranked, "converted": ranked, "dedupe_drop": dropped, "final": final}
     events = A.funnel_events(stages)
     return events.groupBy("stage", "query_id").agg(F.count("*").alias("n"), F.sum(F.size("reason_codes")).cast("int").alias("codes"))
