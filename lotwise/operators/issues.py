@@ -127,9 +127,10 @@ def resolve_reference(refs: DataFrame, stored: DataFrame) -> DataFrame:
     return out.withColumn("row_id", F.coalesce("r_result_id", "r_stable_id", "r_query_text_result_rank")).drop("r_result_id", "r_stable_id", "r_query_text_result_rank")
 
 
-def query_result_facts(ranked: DataFrame, listings: DataFrame, key: list[str]) -> DataFrame:
-    """Bridge (query_id, listing_key, rank) from ranked rows and the stored listings' keys."""
-    return ranked.join(listings.select(*key, "listing_key"), key).select("query_id", "listing_key", "rank")
+def query_result_facts(ranked: DataFrame, listings: DataFrame | None = None, key: list[str] = []) -> DataFrame:
+    """Bridge (query_id, listing_key, rank) from ranked rows and the stored listings' keys, unless the rows carry theirs."""
+    rows = ranked if listings is None else ranked.join(listings.select(*key, "listing_key"), key)
+    return rows.select("query_id", "listing_key", "rank")
 
 
 def pack_snapshot(ranked: DataFrame, query: str = "query_id") -> DataFrame:
