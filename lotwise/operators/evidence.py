@@ -76,16 +76,29 @@ def fuzzy_score(query: str, listing: str) -> tuple[Column, Column]:
 
     Our own formula: a set containment and an edit distance, not a library's ratio.
     """
-    q, listing_tokens = F.array_distinct(T.tokens(query)), F.array_distinct(T.tokens(listing))
+    q = fuzzy_words(query)
+    return fuzzy_score_of(q, first_reference(q), fuzzy_words(listing))
+
+
+def fuzzy_words(c: str) -> Column:
+    """What fuzzy_score needs of a text."""
+    return F.array_distinct(T.tokens(c))
+
+
+def first_reference(words: Column) -> Column:
+    return F.get(F.filter(words, lambda t: t.rlike("[0-9]")), F.lit(0))
+
+
+def fuzzy_score_of(q: Column, ref: Column, listing_tokens: Column) -> tuple[Column, Column]:
+    """fuzzy_score of fuzzy_words that are at hand, and of the search's first_reference: distances are measured only where it isn't among them."""
     text = F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, listing_tokens)) * 100 / F.size(q))).otherwise(0).cast("int")
-    ref = F.get(F.filter(q, lambda t: t.rlike("[0-9]")), F.lit(0))
     close = F.array_max(
         F.transform(
             F.filter(listing_tokens, lambda t: t.rlike("[0-9]")),
             lambda t: F.round(100 * (1 - F.levenshtein(t, ref) / F.greatest(F.length(t), F.length(ref)))).cast("int"),
         )
     )
-    return text, F.coalesce(close, F.lit(0))
+    return text, F.when(F.array_contains(listing_tokens, ref), 100).otherwise(F.coalesce(close, F.lit(0)))
 
 
 def weak_match_reasons(reference: str, overlap: str, text: str) -> Column:
