@@ -8,27 +8,32 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
 from ..sources.shared import scratch
+from .match import _asked_for
 
 # Words that don't tell products apart.
 STOP = ["and", "brand", "card", "cert", "full", "hkd", "set", "usd", "used", "watch", "with"]
 
 
+#: Conditions of an offer and the words that name them.
+CONDITIONS = {"new": ["new", "brandnew", "nos"], "used": ["used", "likenew"], "fullset": ["fullset"], "watchonly": ["watchonly"]}
+
+
 def profile(rows: DataFrame) -> DataFrame:
-    """rows (query_id, listing_id, rank_in, listing_text) with the word, price, reference, year and condition sets."""
+    """rows (query_id, listing_id, rank_in, listing_text) with the word, price, reference and year sets and conditions, without the text."""
     text = F.regexp_replace(F.regexp_replace("listing_text", r"(?i)\bfull\s*set\b", "fullset"), r"(?i)([0-9]{2,3}mm)([0-9]{4})", "$1 $2")
     toks = T.tokens(text)
     is_reference = lambda t: (
         t.rlike("[0-9]") & ~t.rlike("^[0-9]{2,3}mm$") & ~t.rlike(r"^[0-9]+(\.[0-9]+)?[km]$") & ~t.rlike("^[0-9]+$") & ~t.rlike(T.CURRENCIES)
         & ((F.length(t) >= 4) | t.contains("/"))
     )
-    return rows.select(
-        "query_id", "listing_id", "rank_in", "listing_text",
-        F.array_distinct(F.filter(toks, lambda t: t.rlike("^[a-z]+$") & ~t.isin(STOP))).alias("words"),
-        F.array_distinct(F.filter(toks, is_reference)).alias("refs"),
-        F.array_distinct(F.filter(toks, T.year_like)).alias("years"),
-        F.array_distinct(toks).alias("all_words"),
+    return rows.select("query_id", "listing_id", "rank_in", "listing_text", toks.alias("toks")).select(
+        "query_id", "listing_id", "rank_in",
+        F.array_distinct(F.filter("toks", lambda t: t.rlike("^[a-z]+$") & ~t.isin(STOP))).alias("words"),
+        F.array_distinct(F.filter("toks", is_reference)).alias("refs"),
+        F.array_distinct(F.filter("toks", T.year_like)).alias("years"),
+        *[F.arrays_overlap("toks", F.array(*map(F.lit, words))).alias(name) for name, words in CONDITIONS.items()],
         T.price_mentions("listing_text").alias("prices"),
-    ).withColumn("spelling", F.array_join(F.array_sort("words"), " ")).withColumn("letters", _letters("spelling"))
+    )
 
 
 def _letters(c: str) -> Column:
@@ -49,10 +54,8 @@ def _conflict(a: str, b: str) -> Column:
 
 
 def _condition_conflict() -> Column:
-    has = lambda side, *words: F.arrays_overlap(f"{side}_all_words", F.array(*map(F.lit, words)))
-    new = lambda s: has(s, "new", "brandnew", "nos")
-    used = lambda s: has(s, "used", "likenew")
-    return (new("a") & used("b")) | (used("a") & new("b")) | (has("a", "fullset") & has("b", "watchonly")) | (has("a", "watchonly") & has("b", "fullset"))
+    meet = lambda x, y: (F.col(f"a_{x}") & F.col(f"b_{y}")) | (F.col(f"a_{y}") & F.col(f"b_{x}"))
+    return meet("new", "used") | meet("fullset", "watchonly")
 
 
 def similar_pairs(rows: DataFrame, least: float = 0.78, with_ratio: bool = False) -> DataFrame:
@@ -63,7 +66,7 @@ def similar_pairs(rows: DataFrame, least: float = 0.78, with_ratio: bool = False
     have in common allow it to be enough.
     """
     p = profile(rows)
-    side = lambda s: p.select("query_id", *[F.col(c).alias(f"{s}_{c}") for c in p.columns if c != "query_id"], F.explode_outer("prices").alias("price"))  # noqa: E731  null prices join nothing
+    side = lambda s: p.select("query_id", *[F.col(c).alias(f"{s}_{c}") for c in p.columns if c not in ("query_id", "prices")], F.explode_outer("prices").alias("price"))  # noqa: E731  null prices join nothing
     both = side("a").join(side("b"), ["query_id", "price"]).where(
         (F.col("a_rank_in") < F.col("b_rank_in")) | ((F.col("a_rank_in") == F.col("b_rank_in")) & (F.col("a_listing_id") < F.col("b_listing_id")))
     )
@@ -75,9 +78,11 @@ def similar_pairs(rows: DataFrame, least: float = 0.78, with_ratio: bool = False
     keep = ["query_id", "a_listing_id", "b_listing_id", "a_rank_in", "b_rank_in", "score"]
     out = both.where(F.col("score") >= least)
     if with_ratio:  # Python sees few pairs
-        rest = both.where((F.col("score") < least) & (ratio_bound("a", "b") >= least))
+        rest = both.where(F.col("score") < least)
+        rest = rest.withColumns({f"{x}_spelling": F.array_join(F.array_sort(f"{x}_words"), " ") for x in "ab"})
+        rest = rest.withColumns({f"{x}_letters": _letters(f"{x}_spelling") for x in "ab"}).where(ratio_bound("a", "b") >= least)
         rest = rest.withColumn("score", sequence_ratio(F.col("a_spelling"), F.col("b_spelling"))).where(F.col("score") >= least)
-        out = out.unionByName(rest)
+        out = out.select(*keep).unionByName(rest.select(*keep))
     return out.select(*keep).distinct()
 
 
@@ -112,7 +117,8 @@ def group_similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """rows with group_id, group_size and is_primary: connected components of the pairs within a query, named by their
     first rank; the primary is the best by PRIMARY_ORDER, then fewest separators, then rank.
 
-    Transitive by design. An offer takes the least label of its neighbours, hands it to the offer that named it so far,
+    Only offers with a pair have labels that may move; the others are groups of their own, whose rows meet theirs in one join
+    by ids. Transitive by design. An offer takes the least label of its neighbours, hands it to the offer that named it so far,
     and then takes its new namesake's label, until no label moves: reach about doubles each round, whatever the length
     of a chain. Each round is written to the checkpoint folder (set spark.checkpoint.dir), so a lost executor costs one
     round.
@@ -120,9 +126,13 @@ def group_similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(scratch(spark, "groups"))  # in the shared folder, or an error on a cluster that names none
-    labels = rows.select("query_id", "listing_id", F.struct("rank_in", "listing_id").alias("label")).checkpoint()
     both = pairs.select("query_id", F.col("a_listing_id").alias("x"), F.col("b_listing_id").alias("y"))
     both = both.unionByName(both.select("query_id", F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
+    paired = both.select("query_id", F.col("x").alias("listing_id")).distinct()
+    offer = ["query_id", "listing_id"]
+    linked = rows.select(*offer, F.struct("rank_in", "listing_id").alias("label"), primary_key(rows.columns).alias("key"))
+    linked = _asked_for(linked, offer, paired).join(paired, offer, "left_semi").checkpoint()
+    labels = linked.select(*offer, "label")
     while True:
         of = lambda c: labels.select("query_id", F.col("listing_id").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
         seen = both.join(of("x"), ["query_id", "x"]).groupBy("query_id", "y").agg(F.min("x_label").alias("low")).join(of("y"), ["query_id", "y"])
@@ -137,6 +147,7 @@ def group_similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         if not new.where("moved").limit(1).count():
             break
     w = Window.partitionBy("query_id", "group_id")
-    out = rows.join(labels.select("query_id", "listing_id", F.col("label.listing_id").alias("group_id")), ["query_id", "listing_id"])
-    key = primary_key(out.columns)
-    return out.withColumns({"group_size": F.count("*").over(w), "is_primary": key == F.min(key).over(w)})
+    members = linked.drop("label").join(labels.select(*offer, F.col("label.listing_id").alias("group_id")), offer)
+    members = members.withColumns({"group_size": F.count("*").over(w), "is_primary": F.col("key") == F.min("key").over(w)}).drop("key")
+    alone = {"group_id": F.col("listing_id"), "group_size": F.lit(1), "is_primary": F.lit(True)}
+    return rows.join(members, offer, "left").withColumns({c: F.coalesce(c, x) for c, x in alone.items()})

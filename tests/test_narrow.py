@@ -7,8 +7,9 @@ from test_scored import _columns, _nodes
 
 from lotwise.operators import evidence as E
 from lotwise.operators import match as M
+from lotwise.operators import similar as S
 from lotwise.plans import more  # noqa: F401  registers its queries
-from lotwise.plans.queries import QUERIES
+from lotwise.plans.queries import QUERIES, offers
 
 
 def _dealt(df):
@@ -36,3 +37,21 @@ def test_ambiguous_candidates_are_dealt_once_without_texts(spark, tiny):
     pairs = [c for c in _dealt(got) if "query_id" in c]
     assert len(pairs) == 1 and not {"listing_text", "query_text", "shown", "asked"} & pairs[0]
     assert not any("LeftAnti" in n.toString().split("\n")[0] for n in _nodes(got))
+
+
+def test_only_offers_with_a_pair_are_labelled(spark, monkeypatch):
+    rows = [(q, f"{i:03}", i, f"oliven kupfer {i // 2 if i < 6 else 'w' * i} 77700 hkd", i % 2) for q in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "query_id int, listing_id string, rank_in int, listing_text string, quality_group int")
+    pairs = spark.createDataFrame([(1, "000", "001"), (1, "001", "002"), (2, "004", "009")], "query_id int, a_listing_id string, b_listing_id string")
+    kept, whole = [], type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda x, *a: kept.append((x.columns, x.count())) or whole(x, *a))
+    got = {(r.query_id, r.listing_id): (r.group_id, r.group_size, r.is_primary) for r in S.group_similar(df, pairs).collect()}
+    assert len(got) == 80 and kept and all(n <= 6 and "listing_text" not in cols for cols, n in kept)
+    assert [got[1, i] for i in ("000", "001", "002", "003")] == [("000", 3, True), ("000", 3, False), ("000", 3, False), ("003", 1, True)]
+    assert [got[2, i] for i in ("004", "009", "000")] == [("004", 2, True), ("004", 2, False), ("000", 1, True)]
+    monkeypatch.setattr(M, "SENT", 0)
+    assert {(r.query_id, r.listing_id): (r.group_id, r.group_size, r.is_primary) for r in S.group_similar(df, pairs).collect()} == got
+
+
+def test_sides_of_pairs_have_no_texts(spark, tiny):
+    assert not {"listing_text", "all_words", "letters", "spelling"} & set(S.profile(offers(spark, tiny)).columns)
