@@ -170,10 +170,15 @@ def with_plan_scores(scored: DataFrame, guarded: DataFrame, keys: list[str]) ->
     conflicts inside the segment count, and the brand's claim is the twelfth component."""
     plan = guarded.select(*[F.col(k).alias(f"__{k}") for k in keys], "guardrail_group", "guardrail_reasons", F.col("alias_score").alias("__alias"))
     rows = scored.join(plan.dropDuplicates([f"__{k}" for k in keys]), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    return plan_scores(rows.withColumn("alias_score", F.col("__alias"))).drop("__alias", *[f"__{k}" for k in keys])
+
+
+def plan_scores(rows: DataFrame) -> DataFrame:
+    """with_plan_scores of rows that have both."""
     return rows.withColumns({
-        "quality_group": F.greatest("quality_group", "guardrail_group"), "alias_score": F.coalesce("__alias", F.lit(0)),
+        "quality_group": F.greatest("quality_group", "guardrail_group"), "alias_score": F.coalesce("alias_score", F.lit(0)),
         "conflict": F.coalesce(F.array_contains("guardrail_reasons", "guardrail.descriptor_conflict"), F.lit(False)).cast("int"),
-    }).drop("__alias", *[f"__{k}" for k in keys])
+    })
 
 
 RANK_ORDER = [

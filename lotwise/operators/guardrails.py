@@ -6,6 +6,9 @@ their places: a colour beside a card or tag is no dial, a nickname needs its phr
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,16 +56,65 @@ def with_guardrails(matches: DataFrame, plans: DataFrame, keys: list[str]) -> Da
     stands in the segment. The last two need a query of references with descriptors. A query whose reference isn't in the
     text has no segment, so only the first counts. Matches without a plan have no guardrails.
     """
-    plan = plans.select("query_id", *[F.col(c).alias(f"__{c}") for c in PLAN[1:]]).dropDuplicates(["query_id"])
+    plan = asked_plans(plans)
     segments = extract_segments(matches, keys).select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col("segment").alias("__segment"), F.col("reference").alias("__reference"))
     same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
     rows = matches.join(segments.dropDuplicates([f"__key_{k}" for k in keys]), same, "left").join(plan, "query_id", "left")
+    rows = _guarded(rows)
+    return rows.drop(*[c for c in rows.columns if c.startswith("__") and c not in matches.columns])
+
+
+def asked_plans(plans: DataFrame) -> DataFrame:
+    """(query_id, *ASKED): what guardrails need of a plan, worked out once a query."""
+    plan = plans.select("query_id", *[F.col(c).alias(f"__{c}") for c in PLAN[1:]]).dropDuplicates(["query_id"])
+    return plan.withColumns({"__asked": T.canonical_tokens(F.col("__required")), "__phrases": _suffix_phrases("__required")})
+
+
+ASKED = [f"__{c}" for c in PLAN[1:]] + ["__asked", "__phrases"]
+
+
+def _hues(c: str) -> Column:
+    """Colours and conflicting descriptors that may stand in any part of a text: of their spellings, one is in it."""
+    spelt = {x: [x] for x in [*T.COLORS, *T.CONFLICTS]}
+    for spelling, name in (T.ALIASES | T.PHRASES).items():
+        if name in spelt:
+            spelt[name].append(spelling.split(" ")[0])
+    text = F.lower(c)
+    held = lambda words: functools.reduce(operator.or_, [F.contains(text, F.lit(w)) for w in words])
+    return F.array_compact(F.array(*[F.when(held(words), F.lit(name)) for name, words in spelt.items()]))
+
+
+def _looked_into() -> Column:
+    """Whether a guardrail may look into a match's segment: its plan names a nickname, an accessory's colour, or a descriptor
+    or colour beside which a conflicting one may stand in the text. Letters with accents are not told by their bytes."""
+    asked = F.col("__asked")
+    special = F.arrays_overlap("__nicknames", _words(list(NICKNAME_PHRASES))) | F.arrays_overlap(asked, _words(ACCESSORY_COLORS))
+    graded = F.arrays_overlap(asked, _words([*T.CONFLICTS, *T.COLORS]))
+    plain = F.octet_length("listing_text") == F.length("listing_text")
+    beside = F.size(F.array_except(F.when(graded, _hues("listing_text")), asked)) > 0
+    return F.coalesce(special | (graded & (~plain | beside)), F.lit(False))
+
+
+def guard_matches(rows: DataFrame) -> DataFrame:
+    """rows (query_text, listing_text, raw_listing_text, ASKED, ...) with with_guardrails' columns but local_words, row by row.
+
+    Segments are cut only where a guardrail may look into them; nothing is joined or shuffled. The columns of ASKED stay.
+    """
+    packed = rows.select(F.struct("*").alias("__row"), "query_text", F.when(_looked_into(), F.col("listing_text")).otherwise("").alias("__text"))
+    cut = extract_segments(packed, ["__row"], text="__text").select("__row.*", F.col("segment").alias("__segment"), F.col("reference").alias("__reference"))
+    out = ["guardrail_group", "guardrail_reasons", "alias_score", "alias_reason"]
+    return _guarded(cut).select(*rows.columns, *out)
+
+
+def _guarded(rows: DataFrame) -> DataFrame:
+    """with_guardrails of rows with ASKED, __segment and __reference."""
     none = F.array().cast("array<string>")
-    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("__nicknames", "__required", "__conflicts", "__refs")})
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("__nicknames", "__required", "__conflicts", "__refs", "__asked")})
+    rows = rows.withColumn("__phrases", F.coalesce("__phrases", F.array().cast(rows.schema["__phrases"].dataType)))
     lost = (F.size("__refs") > 0) & F.col("__reference").isNull()
     rows = rows.withColumns({
-        "local_words": F.when(lost, none).otherwise(T.tokens("__segment")), "__shown": T.normalize_text("listing_text"), "__phrases": _suffix_phrases("__required"),
-        "__raw": T.tokens("raw_listing_text"), "__scope": scope_reason("listing_text", "raw_listing_text"), "__asked": T.canonical_tokens(F.col("__required")),
+        "local_words": F.when(lost, none).otherwise(T.tokens("__segment")), "__shown": F.when(F.size("__phrases") > 0, T.normalize_text("listing_text")),
+        "__raw": T.tokens("raw_listing_text"), "__scope": F.when(F.arrays_overlap("__asked", _words(ACCESSORY_COLORS)), scope_reason("listing_text", "raw_listing_text")),
     })
     rows = rows.withColumns({"__words": F.transform("local_words", T.canonical_token), "__merged": T.canonical_tokens(F.col("local_words"))})
     words, local = F.col("__words"), F.size("local_words") > 0
@@ -106,15 +158,14 @@ def with_guardrails(matches: DataFrame, plans: DataFrame, keys: list[str]) -> Da
         .when(strict & (F.size("__lone") > 0), head("guardrail.descriptor_context", "__lone", "__evidence"))
         .when(strict & (F.size("__conflict") > 0), head("guardrail.descriptor_conflict", "__conflict")).otherwise(F.col("__evidence"))
     )
-    claims = F.transform(F.coalesce("__brands", F.array().cast(plan.schema["__brands"].dataType)), lambda b: b.confidence)
+    claims = F.transform(F.coalesce("__brands", F.array().cast(rows.schema["__brands"].dataType)), lambda b: b.confidence)
     by_score = [F.when(F.array_contains(claims, c), F.lit(c)) for c in CLAIM_SCORES if c not in ("collection", "nickname")]
     weak = F.get(F.filter(claims, lambda c: c.isin("collection", "nickname")), F.lit(0))
     best = F.coalesce(*by_score, weak)
     score = F.element_at(F.create_map(*[F.lit(x) for kv in CLAIM_SCORES.items() for x in kv]), best)
     rows = rows.withColumns({"guardrail_reasons": reasons, "alias_score": F.coalesce(score, F.lit(0)), "alias_reason": F.concat(F.lit("alias."), best)})
     group = F.exists("guardrail_reasons", lambda r: r.startswith("guardrail.")).cast("int")
-    helpers = [c for c in rows.columns if c.startswith("__") and c not in matches.columns]
-    return rows.withColumn("guardrail_group", group).drop(*helpers)
+    return rows.withColumn("guardrail_group", group)
 
 
 def block_final(matches: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as E
 from ..operators import guardrails as G
+from ..operators import match as M
 from ..operators import rulebook as R
 from ..sources.shared import written
 from ..sources.views import view
-from .queries import RANK_SQL, dealt, joined, query
+from .queries import RANK_SQL, SCORED, dealt, listings, query
 from .segments import _choice, _values
 
 _PHRASE, _NICK, _CONTEXT, _CONFLICT = (f"guardrail.{x}" for x in ("brand_model_phrase_missing", "nickname_evidence_missing", "descriptor_context", "descriptor_conflict"))
@@ -66,6 +67,14 @@ def f4_block_final(s, d):
 @query(RANK_SQL + " SELECT query_id, listing_id, CAST(rank AS INT) AS rank FROM r", "listings_v", "queries_v")
 def w4_rank_by_plan(s, d):
     """The quality order with all twelve keys, the brand's claim and guardrails among them."""
-    matches, keys = written(joined(s, d), "matches"), ["query_id", "listing_id"]
-    guarded = G.with_guardrails(matches, R.annotate_query_plan(view(s, d, "queries_v")), keys)
-    return E.rank_by_quality(E.with_plan_scores(E.score_components(matches), guarded, keys)).select("query_id", "listing_id", "rank")
+    queries = view(s, d, "queries_v")
+    plans = G.asked_plans(R.annotate_query_plan(queries)).drop("__refs")  # search_parts has the same
+    parts = written(E.search_parts(queries).join(plans, "query_id", "left"), "plans")
+
+    def score(rows):
+        rows = G.guard_matches(rows.withColumn("raw_listing_text", F.lit(None).cast("string")))
+        return E.plan_scores(E.score_components(rows))
+
+    ask, keep = ["query_text", *E.SEARCH_PARTS, *[c for c in G.ASKED if c != "__refs"]], ["posted_date", "rank_in", *E.COMPONENTS, "alias_score"]
+    matches = M.match_listings(parts, listings(s, d), SCORED, None, ask, score, keep, ("query_id",))
+    return E.rank_by_quality(matches).select("query_id", "listing_id", "rank")
