@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -44,27 +46,46 @@ def prefiltered_match(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     candidates: query_id, listing_id, rank_in, listing_text, image_url; queries: query_id, query_text. Requests and
     listings of other colours go first. Searches for a reference alone keep its matches where there are any, else all;
     coarse policies keep all; strict ones keep the matches, or, where there is none and one descriptor at most is asked
-    for, the first IMAGE_LIMIT listings with an image that match the reference. Matches are found by the index joins of
-    match_listings; whether a query has any is a join on the queries, not a window over their candidates.
+    for, the first IMAGE_LIMIT listings with an image that match the reference.
+    """
+    offers = candidate_offers(candidates, "query_id")
+    return kept_candidates(lambda searches: offers.join(searches, "query_id"), queries)
+
+
+def candidate_offers(listings: DataFrame, *by: str) -> DataFrame:
+    """What kept_candidates needs of listings, worked out once a listing, and the columns by which searches meet them."""
+    rows = listings.select(*by, "listing_id", "rank_in", (F.coalesce("image_url", F.lit("")) != "").alias("pictured"), T.tokens("listing_text").alias("toks"))
+    rows = rows.withColumns({"shown": F.array_join("toks", " "), "plain": M.plain_text("toks")})
+    hues = F.array_intersect(T.canonical_words(F.col("shown")), F.array(*map(F.lit, T.COLORS)))
+    return rows.withColumns({"hues": hues, "non_sale": T.reads_non_sale(F.col("shown"))}).drop("shown")
+
+
+def kept_candidates(meet: Callable[[DataFrame], DataFrame], queries: DataFrame, *by: str) -> DataFrame:
+    """prefiltered_match of the candidates that meet joins: candidate_offers with searches (query_id, *by and others).
+
+    A pair is judged where it meets, once, and written by its ids if it is kept, or would be if its search had no match.
     """
-    q = prefilter_policy(queries)
-    rows = candidates.select("query_id", "listing_id", "rank_in", "listing_text", "image_url").join(q.select("query_id", "query_text", "refs", "policy", "allows_image"), "query_id")
-    rows = written(M.drop_color_conflicts(rows.where(~T.is_non_sale("listing_text"))), "prefiltered")
-    pairs = ["query_id", "listing_id"]
-    listings = rows.select("listing_id", "listing_text").dropDuplicates(["listing_id"])
-    asked = q.where(F.col("policy").isin(STRICT) | ((F.size("descs") == 0) & (F.size("refs") > 0))).select("query_id", F.col("matching_text").alias("query_text"))
-    hits = written(rows.join(M.match_listings(asked, listings).select(*pairs).distinct(), pairs, "left_semi"), "prefilter-hits")
-    answered = hits.select("query_id").distinct()
-    coarse = rows.where(~F.col("policy").isin(STRICT) & ~((F.size("refs") > 0) & (F.col("policy") == "coarse_no_descriptor")))
-    alone = rows.where((F.size("refs") > 0) & (F.col("policy") == "coarse_no_descriptor")).join(answered, "query_id", "left_anti")
-    open_ = rows.where(F.col("policy").isin(STRICT) & F.col("allows_image") & (F.coalesce("image_url", F.lit("")) != "")).join(answered, "query_id", "left_anti")
-    named = q.join(open_.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.array_join("refs", " ").alias("query_text")).where("query_text <> ''")
-    shown = open_.join(M.match_listings(named, listings).select(*pairs).distinct(), pairs, "left_semi")
+    of = lambda text, name: [F.array_distinct(x).alias(f"{name}_{c}") for x, c in zip(T.parse_query_terms(text), ("refs", "descs"), strict=True)]
+    q = prefilter_policy(queries).withColumns({"strict": F.col("policy").isin(STRICT), "alone": F.array_join("refs", " ")})
+    asked = F.col("strict") | ((F.size("descs") == 0) & (F.size("refs") > 0))
+    terms = [*of("matching_text", "asked"), *of("alone", "named")]
+    q = q.select("query_id", *by, "policy", "strict", (F.col("strict") & F.col("allows_image")).alias("stood_for"), asked.alias("asked"), T.color_set("query_text").alias("colors"), *terms)
+
+    other = (F.size("colors") > 0) & (F.size("hues") > 0) & ~F.arrays_overlap("colors", "hues")
+    rows = meet(written(q, "policies")).where(F.when(F.col("non_sale"), False).otherwise(~other))  # as one test of both sides: it isn't worked out twice
+    rows = rows.withColumn("hit", F.col("asked") & M.pair_matches("asked_refs", "asked_descs", "toks", "plain"))
+    image = F.col("stood_for") & F.col("pictured") & M.pair_matches("named_refs", "named_descs", "toks", "plain")
+    by_what = F.when(F.col("hit"), "match").when(~F.col("asked"), "source").when(~F.col("strict"), "alone").when(image, "image")
+    rows = rows.select("query_id", "listing_id", "policy", "rank_in", F.explode_outer(F.array(by_what)).alias("kept_by")).where("kept_by IS NOT NULL")
+    rows = written(rows.withColumn("rank_in", F.when(F.col("kept_by") == "image", F.col("rank_in"))), "judged")
+
+    out = ["query_id", "listing_id", "policy"]
+    answered = rows.where("kept_by = 'match'").select("query_id").distinct()
+    rest = rows.where("kept_by IN ('alone', 'image')").join(M.sent(answered), "query_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("rank_in", "listing_id"))
-    shown = shown.withColumn("n", first).where(F.col("n") <= IMAGE_LIMIT)
-    out = [(hits, "match"), (coarse, "source"), (alone, "source"), (shown, "image")]
-    parts = [df.select(*pairs, "policy", F.lit(by).alias("kept_by")) for df, by in out]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    shown = rest.where("kept_by = 'image'").withColumn("n", first).where(F.col("n") <= IMAGE_LIMIT).select(*out, "kept_by")
+    alone = rest.where("kept_by = 'alone'").select(*out, F.lit("source").alias("kept_by"))
+    return rows.where("kept_by IN ('match', 'source')").select(*out, "kept_by").unionByName(alone).unionByName(shown)
 
 
 def image_layout(text: str, raw: str, scope: Column) -> Column:
